@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratamem.llm import mixing, near_duplicates, splitting, visual_forms
+from stratamem.llm import mixing, near_duplicates, personal_data, splitting, visual_forms
 from stratamem.session import materialize, read_table
 
 
@@ -23,6 +23,20 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(first, "group_id").select(F.col("rec_id").alias("cand_id"), "class_id", "class_size", "n_links")
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    turns = read_table(spark, d, "turns").select(F.lit("turns").alias("rec_table"), F.col("turn_id").alias("rec_id"), F.col("content").alias("text"))
+    asked = read_table(spark, d, "add_requests").select(F.lit("add_requests").alias("rec_table"), F.col("request_id").alias("rec_id"), F.col("content").alias("text"))
+    return personal_data.find_items(turns.union(asked), read_table(spark, d, "name_hints"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("rec_table", "rec_id", F.explode("items").alias("i")).select("rec_table", "rec_id", "i.kind", "i.start_pos").distinct()
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("rec_table", "rec_id", F.size("items").alias("n_items"), "sanitized")
+
+
 def _long_texts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str]]:
     return [("ingest_requests", read_table(spark, d, "ingest_requests"), "ingest_id"), ("doc_chunks", read_table(spark, d, "doc_chunks"), "chunk_id")]
 
@@ -61,6 +75,8 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_texts": p2_texts,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_mix": p7_mix,

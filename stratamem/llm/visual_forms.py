@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 # Letters of the same shape, position by position.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԚԜԌаеѕіјорсухһԁԛԝѵɡӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXYQWGaesijopcyxhdqwvgl"
+#: Those that a word of today is spelled with.
+CYRILLIC_USUAL = "АВЕЅІЈКМНОРСТУХаеѕіјорсух"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϳ"
 GREEK_AS = "ABEZHIKMNOPTYXaivopuj"
 LATIN = "ɑɩ"
@@ -32,8 +34,8 @@ SPACES = "              　 "
 
 _SHAPE = str.maketrans(CYRILLIC + GREEK + LATIN + SPACES, CYRILLIC_AS + GREEK_AS + LATIN_AS + " " * len(SPACES))
 _TO = {
-    "Cyrillic": {a: c for c, a in reversed(list(zip(CYRILLIC, CYRILLIC_AS)))},
-    "Greek": {a: c for c, a in reversed(list(zip(GREEK, GREEK_AS)))},
+    "Cyrillic": {a: c for c, a in zip(CYRILLIC, CYRILLIC_AS) if c in CYRILLIC_USUAL},
+    "Greek": dict(zip(GREEK_AS[:-1], GREEK[:-1])),
 }
 _RESPELL = {script: str.maketrans(table) for script, table in _TO.items()}
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻]")
