@@ -35,10 +35,11 @@ NOT_NAMES = frozenset(
 ) - frozenset("Hope Mark Grace Rose Reed May".split())
 
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+'-]*"
-_AT = r"(?:\s*@\s*|\s*[\[({<]\s*(?:at|AT|At|@)\s*[\])}>]\s*|\s+(?:at|AT)\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|DOT|Dot|\.)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+|\.)"
+_AT = r"(?:\s*@\s*|\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-EMAIL = re.compile(rf"(?<![\w.@])(?:mailto:)?(?P<item>{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}(?P<top>[A-Za-z]{{2,24}}))(?![\w@])")
+EMAIL = re.compile(rf"(?<![\w.@])(?P<item>{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}(?P<top>[A-Za-z]{{2,24}}))(?![\w@])", re.I)
+_SPELLED = re.compile(rf"(?<![\w.@])(?P<item>[A-Za-z0-9](?:[A-Za-z0-9._%+'-]|\s+(?:dot|underscore|dash)\s+)*\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*\s+dot\s+(?P<top>[A-Za-z]{{2,24}}))(?![\w@])", re.I)
 _FILE_ENDINGS = frozenset("png jpg jpeg gif svg webp pdf txt csv json zip html css js py md".split())
 
 PHONE = re.compile(
@@ -91,15 +92,13 @@ def _overlaps(spans: list[tuple[int, int, str]], start: int, end: int) -> bool:
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     low = text.lower()
-    if "@" not in text and not re.search(r"\bat\b", low):
-        return
-    for m in EMAIL.finditer(text):
-        item = m.group("item")
-        if m.group("top").lower() in _FILE_ENDINGS:
-            continue
-        if "@" not in item and not re.search(r"[\[({<]|\bdot\b", item, re.I):
-            continue  # "look at home.example" is no address
-        yield m.start("item"), m.end("item")
+    if "@" in text or re.search(r"[\[({<]\s*at\b", low):
+        for m in EMAIL.finditer(text):
+            if m["top"].lower() not in _FILE_ENDINGS:
+                yield m.span("item")
+    if re.search(r"\bat\b", low) and re.search(r"\bdot\b", low):
+        for m in _SPELLED.finditer(text):
+            yield m.span("item")
 
 
 def _phone_like(item: str, before: str, after: str) -> bool:
@@ -160,7 +159,10 @@ def _addresses(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[i
 def structured_items(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the items that have a form of their own, by place."""
     text = plain(text)
-    spans = [(s, e, "email") for s, e in _emails(text)]
+    spans: list[tuple[int, int, str]] = []
+    for s, e in _emails(text):
+        if not _overlaps(spans, s, e):
+            spans.append((s, e, "email"))
     if any(ch.isdigit() for ch in text):
         spans += [(s, e, "address") for s, e in _addresses(text, spans)]
         # A form of identity number near its cue wins over a telephone reading of the digits.

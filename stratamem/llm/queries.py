@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratamem.llm import mixing, near_duplicates, personal_data, splitting, visual_forms
+from stratamem.llm import leaks, mixing, near_duplicates, personal_data, splitting, visual_forms
 from stratamem.session import materialize, read_table
 
 
@@ -51,6 +51,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).select("rec_table", "rec_id", "piece_no", "start_pos", "end_pos", "piece")
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """Training order with openreel read rather early and fansub rather late."""
     return mixing.mixture(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"), ramps={"openreel": -0.4, "fansub": 0.6})
@@ -79,6 +87,8 @@ QUERIES = {
     "p2_texts": p2_texts,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
     "p7_mix": p7_mix,
     "p7_uses": p7_uses,
     "p7_shares": p7_shares,
