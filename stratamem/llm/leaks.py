@@ -43,31 +43,33 @@ def folded(text: str) -> str:
     return text.lower()
 
 
-def spoken_words(text: str) -> list[str]:
-    """The words of a subtitle text without cue numbers, times, markup and sound notes."""
+def _spoken(text: str) -> str:
+    """The text without cue numbers, times, markup and sound notes."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = _SOUND.sub(" ", _MARKUP.sub("", _CUE_LINE.sub(" ", text)))
-    return WORD.findall(folded(text))
+    return _SOUND.sub(" ", _MARKUP.sub("", _CUE_LINE.sub("", text)))
 
 
-def _unrolled_words(text: str) -> list[str] | None:
-    """The words with lines that repeat the line before left out (roll-up captions); None if none does."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    lines, last, rolled = [], None, False
-    for line in _SOUND.sub(" ", _MARKUP.sub("", _CUE_LINE.sub("\n", text))).replace(" / ", "\n").split("\n"):
+def spoken_words(text: str) -> list[str]:
+    return WORD.findall(folded(_spoken(text)))
+
+
+def _readings(text: str) -> list[list[str]]:
+    """The words of a subtitle text; where lines repeat the line before (roll-up captions), also without those."""
+    plain = _spoken(text)
+    out = [WORD.findall(folded(plain))]
+    lines, last, rolled = [], "", False
+    for line in plain.replace(" / ", "\n").split("\n"):
         now = line.strip(" \t|-")
-        if not now:
-            continue
-        if now == last:
+        if now and now == last:
             rolled = True
-            continue
-        lines.append(now)
-        last = now
-    return WORD.findall(folded("\n".join(lines))) if rolled else None
+        elif now:
+            lines.append(now)
+            last = now
+    if rolled:
+        out.append(WORD.findall(folded("\n".join(lines))))
+    return out
 
 
 # Shapes that character recognition confuses.
@@ -171,7 +173,7 @@ def _starts(ids: np.ndarray, least: int) -> np.ndarray:
 
 
 #: Words handled at once; bounds a task's memory.
-CHUNK = 30_000
+CHUNK = 3_000
 
 
 def _chunks(docs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -211,9 +213,7 @@ def _prepared(vocab, least: int):
             ids, texts, starts = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs += 1
-                for k, words in enumerate((spoken_words(text), _unrolled_words(text))):
-                    if words is None:
-                        continue
+                for k, words in enumerate(_readings(text)):
                     at = own.ids(words)
                     if not k:
                         total[np.unique(at)] += 1  # words outside the vocabulary count in the last place
@@ -343,7 +343,7 @@ def _search(known, least: int, cosine: float):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", least: int = 12, cosine: float = 0.3) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", least: int = 12, cosine: float = 0.35) -> DataFrame:
     """``(doc_id, item_id, n_words)``: documents that hold ``least`` consecutive words of an item, one may be damaged.
 
     ``n_words`` is the longest such run found. ``items`` is the held-out set, a query set of

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratamem.llm import leaks, mixing, near_duplicates, personal_data, splitting, visual_forms
+from stratamem.llm import leaks, mixing, near_duplicates, personal_data, similar_vectors, splitting, visual_forms
 from stratamem.session import materialize, read_table
 
 
@@ -51,6 +51,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).select("rec_table", "rec_id", "piece_no", "start_pos", "end_pos", "piece")
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors.nearest(read_table(spark, d, "embedding_data"), "vec_id", "embedding", k=5, dim=64)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors.near_pairs(p5_neighbours(spark, d))
+
+
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
@@ -87,6 +95,8 @@ QUERIES = {
     "p2_texts": p2_texts,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p7_mix": p7_mix,
