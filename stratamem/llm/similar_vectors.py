@@ -201,9 +201,9 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int
     schema = "vec_id bigint, near_id bigint, cosine double"
     if n == 0:
         return spark.createDataFrame([], schema + ", rank int")
-    share = min(1.0, 1.2 * SAMPLE / n)
-    drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(SAMPLE).toPandas()["v"]
-    x = np.array([np.asarray(v, np.float64) for v in drawn])
+    # A sample by hash, of SAMPLE vectors as expected, for the centroids only.
+    drawn = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(2**31)) < int(min(1.0, SAMPLE / n) * 2**31) + 1).select("vec_id", "v").toArrow().sort_by("vec_id")
+    x = drawn["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     x /= np.abs(x).max(axis=1, keepdims=True)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     c = balanced_centroids(x, max(1, min(MOST_CENTROIDS, n // LIST_SIZE, len(x))))
