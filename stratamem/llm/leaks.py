@@ -151,25 +151,40 @@ class _Vocabulary:
                 at.setdefault(w, []).append(j)
             self.where.append(at)
 
+        pairs = {self.index[a] * len(self.index) + self.index[b] for _, words in items for a, b in zip(words, words[1:])}
+        self.pairs = np.zeros(1 << max(16, (64 * len(pairs)).bit_length()), bool)
+        self.pairs[self._place(np.array(sorted(pairs), np.int64))] = True
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * 2654435761) & (len(self.pairs) - 1)
+
+    def has_pair(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each word and the next are neighbours in an item; a rare other pair may pass."""
+        known = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        return known & self.pairs[self._place(ids[:-1].astype(np.int64) * len(self.index) + ids[1:])]
+
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.index.get
         return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
 
 
-def _starts(ids: np.ndarray, least: int) -> np.ndarray:
+def _starts(vocab: _Vocabulary, ids: np.ndarray, least: int) -> np.ndarray:
     """Starts of the passages that can hold a run of ``least`` item words, one of them damaged.
 
-    Anything else has too little weight in the items' vocabulary to be a candidate.
+    In such a run all words but one are item words and all pairs of neighbours but two are
+    neighbours in an item. Passages whose runs have not even half of those pairs would get a
+    vector of almost no weight; they are left out, which loses no case.
     """
     n = len(ids)
     if n < least:
         return np.zeros(0, np.int64)
     known = np.concatenate([[0], np.cumsum(ids >= 0)])
-    able = np.flatnonzero(known[least:] - known[:-least] >= least - 1)
-    if not len(able):
-        return able
-    # A run at p lies whole in the passage that starts at the step before p, for PASSAGE >= least + STEP.
-    return np.unique(able // STEP * STEP)
+    able = known[least:] - known[:-least] >= least - 1
+    if able.any():
+        pairs = np.concatenate([[0], np.cumsum(vocab.has_pair(ids))])
+        able &= pairs[least - 1 :] - pairs[: 1 - least] >= max(0, min(least - 3, least // 2))
+    # A run at p lies whole in the passage that starts at the step before p, for PASSAGE >= least + STEP - 1.
+    return np.unique(np.flatnonzero(able) // STEP * STEP)
 
 
 #: Words handled at once; bounds a task's memory.
@@ -217,7 +232,7 @@ def _prepared(vocab, least: int):
                     at = own.ids(words)
                     if not k:
                         total[np.unique(at)] += 1  # words outside the vocabulary count in the last place
-                    able = _starts(at, least)
+                    able = _starts(own, at, least)
                     if len(able):
                         ids.append(key), texts.append(" ".join(words)), starts.append(able.tolist())
             n = len(ids)
@@ -343,7 +358,7 @@ def _search(known, least: int, cosine: float):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", least: int = 12, cosine: float = 0.35) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", least: int = 12, cosine: float = 0.3) -> DataFrame:
     """``(doc_id, item_id, n_words)``: documents that hold ``least`` consecutive words of an item, one may be damaged.
 
     ``n_words`` is the longest such run found. ``items`` is the held-out set, a query set of
