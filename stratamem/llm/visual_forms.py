@@ -21,6 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from stratamem.session import materialize
+
 # Letters of the same shape, position by position.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԚԜԌаеѕіјорсухһԁԛԝѵɡӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXYQWGaesijopcyxhdqwvgl"
@@ -142,7 +144,7 @@ def look_alikes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     src = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text")).where("rec_id is not null and text is not null")
     kind = src.schema["rec_id"].dataType.simpleString()
-    marks = src.mapInArrow(_hashes, f"rec_id {kind}, high bigint, low bigint, own bigint")
+    marks = materialize(src.mapInArrow(_hashes, f"rec_id {kind}, high bigint, low bigint, own bigint"), "forms")
     varied = marks.groupBy("high", "low").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("high", "low")
     ids = marks.join(varied, ["high", "low"], "left_semi").distinct()
     a = ids.select("high", "low", F.col("rec_id").alias("doc_a"), F.col("own").alias("own_a"))
