@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stratamem.session import materialize
+
 KINDS = ("email", "phone", "identity", "address", "name")
 
 # Words that announce items.
@@ -362,7 +364,7 @@ def find_items(texts: DataFrame, hints: DataFrame) -> DataFrame:
     row is searched.
     """
     src = texts.select("rec_table", F.col("rec_id").cast("bigint").alias("rec_id"), "text")
-    seen = src.where("text is not null").mapInArrow(_evidence, "rec_table string, rec_id bigint, term string, n bigint, k bigint")
+    seen = materialize(src.where("text is not null").mapInArrow(_evidence, "rec_table string, rec_id bigint, term string, n bigint, k bigint"), "terms")
     terms = disclosing_terms(seen, hints)
     mine = seen.select("rec_table", "rec_id", "term").join(terms, "term").groupBy("rec_table", "rec_id").agg(F.collect_set(F.struct("term", "share", "part")).alias("terms"))
     return src.join(mine, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "terms").mapInArrow(
