@@ -67,10 +67,9 @@ def _number(text: str) -> float | None:
 class _Columns:
     """Builds Spark columns over a JSON string column."""
 
-    true, false = F.lit(True), F.lit(False)
-
     def __init__(self, metadata: Column):
         self.metadata = metadata
+        self.true, self.false = F.lit(True), F.lit(False)
 
     def _scalar(self, key: str) -> Column:
         variant = F.try_parse_json(self.metadata)

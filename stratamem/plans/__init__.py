@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratamem.plans import histories
+from stratamem.plans import histories, retrieval, streams, writes
 
-MODULES = (histories,)
+MODULES = (retrieval, writes, histories, streams)
 
 
 def core_queries() -> dict:
