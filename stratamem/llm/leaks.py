@@ -328,7 +328,7 @@ def _latent(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, space: np.ndar
 
 def _search(known, least: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, idf, space, owner, latent = known.value
+        own, idf, space, firsts, latent = known.value
         member = np.zeros((len(own.items), len(own.index) + 1), bool)
         for k, at in enumerate(own.where):
             member[k, [own.index[w] for w in at]] = True
@@ -340,9 +340,10 @@ def _search(known, least: int, cosine: float):
             for ids, starts, docs in _chunks((own.ids(w), at) for w, at in zip(texts, ats)):
                 near = _latent(ids, starts, idf, space)
                 place = np.concatenate([ats[k] for k in np.unique(docs)])
-                for a in range(0, len(latent), 2048):
-                    r, c = np.nonzero(near @ latent[a : a + 2048].T >= cosine)
-                    item = owner[a + c]
+                for a in range(0, len(firsts), 256):  # items, each with all its passages
+                    lo, hi = firsts[a], firsts[a + 256] if a + 256 < len(firsts) else len(latent)
+                    r, c = np.nonzero(np.maximum.reduceat(near @ latent[lo:hi].T, firsts[a : a + 256] - lo, axis=1) >= cosine)
+                    item = a + c
                     # A passage goes on only if the one item has all but one of so many words in a row.
                     sums = np.cumsum(member[item[:, None], ids[starts[r][:, None] + np.arange(PASSAGE)]], axis=1, dtype=np.int8)
                     sums[:, least:] -= sums[:, :-least].copy()
@@ -388,10 +389,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     idf = np.log((1 + n_docs) / (1 + df)) + 0.05
     item_side = [(own.ids(w), np.arange(0, max(1, len(w) - least + 1), STEP)) for _, w in held]
     passages = ready.where("doc_id is not null").select("doc_id", "words", "starts")
-    space, values = latent_space(passages.select("words", "starts"), vocab, idf, item_side)
-    space = space / np.maximum(values, values[0] * 1e-6)  # whitened: phrases that all texts share weigh little
-    owner = np.concatenate([np.full(len(starts), k) for k, (_, starts) in enumerate(item_side)])
+    space, _ = latent_space(passages.select("words", "starts"), vocab, idf, item_side)
+    firsts = np.cumsum([0, *(len(starts) for _, starts in item_side)])[:-1]
     latent = np.concatenate([_latent(ids, starts, idf, space) for ids, starts, _ in _chunks(iter(item_side))])
-    known = spark.sparkContext.broadcast((own, idf, space, owner, latent))
+    known = spark.sparkContext.broadcast((own, idf, space, firsts, latent))
     found = passages.mapInArrow(_search(known, least, cosine), f"doc_id {kind}, item_id bigint, n_words int")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

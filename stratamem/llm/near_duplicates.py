@@ -4,11 +4,13 @@ A text is its set of words (maximal runs of letters or digits, lower-cased). Two
 linked if the Jaccard similarity of the sets reaches the threshold; groups are the closed
 classes of the links.
 
-Each tree of the forest orders a text's words by a weighted hash (rare words tend to come
-first) and keeps the leading words as a signature of up to four levels. All signatures of a
+Each tree of the forest orders a text's words by a hash and keeps the leading words as a signature of up to four levels. All signatures of a
 tree are sorted, and a text's candidates are its neighbours in that order that share the
 longest prefixes: in sparse regions the neighbourhood spans everything that shares the first
 word, in dense regions only what shares two, three or four, so the depth adapts by region.
+In most trees the hash is weighted, so that rare words tend to come first and texts that only
+share common words stay apart; in the others all words weigh the same, so that copies made of
+words that are common (a group may be a large part of all texts) meet whatever is added.
 Candidates are thinned by a bound that loses nothing (the parity bitmaps of two sets differ
 in at most as many bits as the sets differ in words) and then checked exactly.
 
@@ -35,6 +37,8 @@ DF_BUCKETS = 1 << 15
 #: Share of documents at which a word's weight has fallen to a half.
 HALF_WEIGHT_SHARE = 0.005
 LEVELS = 4
+#: Trees in which all words weigh the same, of every eight.
+EVEN_OF_8 = 3
 _U = np.uint64
 
 
@@ -142,7 +146,7 @@ def _signatures(weights: np.ndarray, trees: int):
             keys = []
             for t in range(trees):
                 u = (_mix(wide + _U(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1))) >> _U(11)).astype(np.float64) * 2.0**-53
-                order = np.lexsort((words, -np.log(u + 1e-18) / weight, row))
+                order = np.lexsort((words, -np.log(u + 1e-18) / (1.0 if t % 8 < EVEN_OF_8 else weight), row))
                 ordered = words[order]
                 key = np.full(len(node), t, _U)
                 for d in range(LEVELS):
