@@ -57,7 +57,8 @@ def embed(text: Column, embedder: Embedder) -> Column:
             vecs = embedder(known.tolist()) if len(known) else []
             if any(len(v) != embedder.dim for v in vecs):
                 raise ValueError(f"the embedder must give {embedder.dim} components")
-            yield pd.Series(dict(zip(known.index, vecs)), dtype=object).reindex(s.index)
+            by = dict(zip(known.index, vecs))
+            yield pd.Series([by.get(i) for i in s.index], index=s.index, dtype=object)
 
     return run(text)
 

@@ -17,7 +17,7 @@ KEY = ["tenant_id", "actor_id", "subject_key", "attribute_key"]
 def stream_resolve(spark: SparkSession, d: str) -> DataFrame:
     """``candidates`` as a stream of files, resolved key by key in order of recording."""
     schema = read_table(spark, d, "candidates").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/candidates.parquet")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/candidates.parque?")
     kind = F.col("temporal_kind")
     start = F.coalesce(F.when(kind == "as_of", F.col("as_of_ts")).when(kind == "range", F.col("range_from")), F.col("recorded_at"))
     rows = source.select("tenant_id", "actor_id", normalize_key(F.col("subject")).alias("subject_key"), normalize_key(F.col("attribute")).alias("attribute_key"), "cand_id", "value", "single_valued", "recorded_at", F.unix_micros(start).alias("at_us"))
