@@ -161,9 +161,9 @@ def test_leaks(spark):
     w = ITEM.split(" ")
     noise = [f"noise{k}" for k in range(30)]
     hurt = list(w[2:14])
-    hurt[5] = "candlefie1d"
+    hurt[4] = "candlefie1d"
     twice = list(w[2:14])
-    twice[3], twice[7] = "1inenyard", "dr0pped"
+    twice[4], twice[7] = "cand1efie1d", "dr0pped"
     docs = {
         1: _subtitles(noise + w[2:14] + noise),
         2: _subtitles(noise + hurt + noise),
