@@ -13,7 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dir: list[str] = []
 
 
+def _tell_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the driver was started from."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _tell_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
