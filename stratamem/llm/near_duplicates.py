@@ -12,7 +12,13 @@ In most trees the hash is weighted, so that rare words tend to come first and te
 share common words stay apart; in the others all words weigh the same, so that copies made of
 words that are common (a group may be a large part of all texts) meet whatever is added.
 Candidates are thinned by a bound that loses nothing (the parity bitmaps of two sets differ
-in at most as many bits as the sets differ in words) and then checked exactly.
+in at most as many bits as the sets differ in words) and then checked exactly. Words found in
+only one set are left out of the signatures: no other text can share them.
+
+What the forest leaves in different classes is compared without a cap: two sets that reach
+the threshold share one of their first words in any common order, rare words first here, so
+all texts with such a word are compared with all others that have it (again by parity bitmap,
+then exactly). Its cost grows with the square of a word's texts.
 
 Exact copies are one node, named by the hash of the word set, and never reach the pair stages twice.
 """
@@ -39,6 +45,8 @@ HALF_WEIGHT_SHARE = 0.005
 LEVELS = 4
 #: Trees in which all words weigh the same, of every eight.
 EVEN_OF_8 = 3
+#: Texts with one leading word beyond which they are compared block by block.
+BLOCK = 1 << 16
 _U = np.uint64
 
 
@@ -122,6 +130,15 @@ def _document_shares(sets: DataFrame) -> np.ndarray:
     return out / max(1, counts.get(-1, 0))
 
 
+def _bitmaps(words: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmap of 112 bits of each set; the upper 16 bits of the second half hold the size."""
+    at = _mix(words.astype(_U)) % _U(112)
+    bit = _U(1) << (at % _U(64))
+    low = np.bitwise_xor.reduceat(np.where(at < 64, bit, _U(0)), starts)
+    high = np.bitwise_xor.reduceat(np.where(at >= 64, bit, _U(0)), starts)
+    return low, high | np.minimum(lens, 65535).astype(_U) << _U(48)
+
+
 def _signatures(weights: np.ndarray, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +152,20 @@ def _signatures(weights: np.ndarray, trees: int):
             keep[first] = True
             words, node, lens = words[np.repeat(keep, lens)], node[keep], lens[keep]
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            low, high = _bitmaps(words, starts, lens)
+            single, single_offsets = _flat(batch.column(2))
+            if len(single):  # words no other set has
+                place = np.full(len(keep), -1)
+                place[keep] = np.arange(len(node))
+                of_row = place[np.repeat(np.arange(len(keep)), np.diff(single_offsets))]
+                single, of_row = single[of_row >= 0], of_row[of_row >= 0]
+                own = np.isin(np.repeat(np.arange(len(node)), lens).astype(_U) << _U(32) | words, of_row.astype(_U) << _U(32) | single)
+                shared = np.add.reduceat(~own, starts)
+                stay, some = np.repeat(shared > 0, lens) & ~own, shared > 0
+                words, node, low, high, lens = words[stay], node[some], low[some], high[some], shared[some]
+                starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
             row = np.repeat(np.arange(len(node)), lens)
             wide = words.astype(_U)
-            at = _mix(wide) % _U(112)
-            bit = _U(1) << (at % _U(64))
-            low = np.bitwise_xor.reduceat(np.where(at < 64, bit, _U(0)), starts)
-            high = np.bitwise_xor.reduceat(np.where(at >= 64, bit, _U(0)), starts)
-            high |= np.minimum(lens, 65535).astype(_U) << _U(48)
             weight = weights[_bucket(words)]
             keys = []
             for t in range(trees):
@@ -199,32 +223,170 @@ def _neighbours(threshold: float, window: int):
     return run
 
 
+def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
+    """Entries of the words that may be the first shared one of two alike sets, rare words first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            words, offsets = _flat(batch.column(1))
+            if not len(node):
+                continue
+            lens = np.diff(offsets)
+            starts = offsets[:-1].astype(np.int64)
+            low, high = _bitmaps(words, starts, lens)
+            row = np.repeat(np.arange(len(node)), lens)
+            ordered = words[np.lexsort((words, shares[_bucket(words)], row))]
+            first = lens - np.ceil(threshold * lens - 1e-9).astype(np.int64) + 1
+            lead = np.arange(len(words)) - starts[row] < first[row]
+            word, of = ordered[lead], row[lead]
+            blocks = np.maximum(1, -(-np.round(shares[_bucket(word)] * n_sets).astype(np.int64) // BLOCK))
+            at = (_mix(node[of].view(_U)) % blocks.astype(_U)).astype(np.int64)
+            # a block meets itself and every other once: cell (i, j), i <= j, holds the blocks i and j
+            total = int(blocks.sum())
+            other = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            at, word, of = np.repeat(at, blocks), np.repeat(word, blocks), np.repeat(of, blocks)
+            cell = np.minimum(at, other) << 24 | np.maximum(at, other)
+            for k in range(0, total, 200_000):
+                x = of[k : k + 200_000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(word[k : k + 200_000].view(np.int32)),
+                        pa.array(cell[k : k + 200_000]),
+                        pa.array(at[k : k + 200_000]),
+                        pa.array(low[x].view(np.int64)),
+                        pa.array(high[x].view(np.int64)),
+                        pa.array(node[x]),
+                        pa.array(part[x]),
+                    ],
+                    names=["word", "cell", "at", "low", "high", "node", "part"],
+                )
+
+    return run
+
+
+def _compare(rows: np.ndarray, slack: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one cell in different classes that the bitmaps do not tell apart."""
+    _, cell, at, low, high, node, part = rows
+    n = (high.view(_U) >> _U(48)).astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    at, low, high, node, part, n = at[order], low[order].view(_U), high[order].view(_U) << _U(16), node[order], part[order], n[order]
+    crossed = cell[0] >> 24 != cell[0] & 0xFFFFFF
+    high_end = np.where(n >= 65535, len(n), np.searchsorted(n, np.floor(n / threshold + 1e-9), "right"))
+    high_end[(n / threshold) >= 65535] = len(n)
+    may = np.where(n >= 65535, 1e6, slack * n + 5e-4).astype(np.float32)
+    step = max(1, 400_000 // len(n))
+    for i in range(0, len(n), step):
+        j = min(i + step, len(n))
+        end = int(high_end[i:j].max())
+        a, b = slice(i, j), slice(i, end)
+        apart = np.bitwise_count(low[a, None] ^ low[b]) + np.bitwise_count(high[a, None] ^ high[b])
+        near = apart <= may[a, None] + may[b]
+        near &= part[a, None] != part[b]
+        if crossed:
+            near &= at[a, None] != at[b]
+        x, y = np.nonzero(near)
+        keep = y > x
+        yield node[i + x[keep]], node[i + y[keep]]
+
+
+def _cells(threshold: float):
+    slack = (1 - threshold) / (1 + threshold)
+
+    def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
+        bounds = np.concatenate([[0], edge, [rows.shape[1]]])
+        found_a, found_b, size = [], [], 0
+        for k in np.flatnonzero(np.diff(bounds) > 1):
+            for a, b in _compare(rows[:, bounds[k] : bounds[k + 1]], slack, threshold):
+                found_a.append(a), found_b.append(b)
+                size += len(a)
+                if size > 500_000:
+                    yield batch_of(found_a, found_b)
+                    found_a, found_b, size = [], [], 0
+        if size:
+            yield batch_of(found_a, found_b)
+
+    def batch_of(found_a: list[np.ndarray], found_b: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            edge = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+            if waiting and (waiting[-1][:2, -1] != rows[:2, 0]).any():
+                yield from pairs_of(np.concatenate(waiting, axis=1))
+                waiting = []
+            if len(edge):  # the last cell may go on in the next batch
+                yield from pairs_of(np.concatenate([*waiting, rows[:, : edge[-1] + 1]], axis=1))
+                waiting = [rows[:, edge[-1] + 1 :]]
+            else:
+                waiting.append(rows)
+        if waiting:
+            yield from pairs_of(np.concatenate(waiting, axis=1))
+
+    return run
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    one = sets.groupBy("node").agg(F.first("words").alias("words"))
+    with_a = pairs.join(one.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
+    with_b = with_a.join(one.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    both = F.size(F.array_intersect("wa", "wb"))
+    return with_b.where(both >= threshold * (F.size("wa") + F.size("wb") - both) - 1e-9).select("a", "b")
+
+
+def _single_words(sets: DataFrame) -> DataFrame:
+    """``(node, single)``: the words of a set that no other set has, counted exactly."""
+    each = sets.select("node", F.explode("words").alias("word"))
+    seen = each.groupBy("word").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return seen.groupBy("node").agg(F.collect_set("word").alias("single"))
+
+
+def missing_links(sets: DataFrame, classes: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``(a, b)``: every link between sets of different ``classes`` (node, component)."""
+    shares = _document_shares(sets)
+    one = sets.groupBy("node").agg(F.first("words").alias("words")).join(classes, "node", "left")
+    entries = one.select("node", "words", F.coalesce("component", "node").alias("part")).mapInArrow(
+        _prefixes(shares, threshold, sets.count()), "word int, cell bigint, at bigint, low bigint, high bigint, node bigint, part bigint"
+    )
+    near = entries.repartition("word", "cell").sortWithinPartitions("word", "cell").mapInArrow(_cells(threshold), "a bigint, b bigint")
+    return _checked(near.distinct(), sets, threshold)
+
+
 def links(sets: DataFrame, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:
     """``(a, b)``: checked links between different word sets, smaller node first."""
     shares = _document_shares(sets)
     weights = 1.0 / (1.0 + shares / HALF_WEIGHT_SHARE)
-    signs = sets.select("node", "words").mapInArrow(_signatures(weights, trees), "key bigint, low bigint, high bigint, node bigint")
+    marked = sets.join(_single_words(sets), "node", "left").select("node", "words", F.coalesce("single", F.array().cast("array<int>")).alias("single"))
+    signs = marked.mapInArrow(_signatures(weights, trees), "key bigint, low bigint, high bigint, node bigint")
     ordered = signs.repartitionByRange("key", "low", "high", "node").sortWithinPartitions("key", "low", "high", "node")
     pairs = ordered.mapInArrow(_neighbours(threshold, window), "a bigint, b bigint").distinct()
-    one = sets.groupBy("node").agg(F.first("words").alias("words"))
-    with_a = pairs.join(one.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-    with_b = with_a.join(one.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    return with_b.where(both >= threshold * (F.size("wa") + F.size("wb") - both) - 1e-9).select("a", "b")
+    return _checked(pairs, sets, threshold)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:
     """One row per text with a word: ``(rec_id, node, group_id, n_links)``.
 
     ``group_id`` is the smallest node of the closed class (a text alike no other is its own
-    class); ``n_links`` counts the different word sets its own set is linked to. Null ids,
-    null texts and texts without any word have no row; repeated rows stay repeated. Copies
-    share a node. A candidate pair can be missed only if the two texts are neighbours in none
-    of the trees; the share found is measured against all pairs in the tests.
+    class); ``n_links`` counts the different word sets its own set was found linked to, which
+    in a class may be fewer than all. Null ids, null texts and texts without any word have no
+    row; repeated rows stay repeated. Copies share a node. The classes are whole: links the
+    trees miss between two classes are searched for exactly.
     """
     sets = materialize(word_sets(df, id_col, text_col), "wordsets")
     edges = materialize(links(sets, threshold, trees, window), "links")
-    classes = connected_components(edges, "a", "b").withColumnRenamed("node", "of")
+    classes = connected_components(edges, "a", "b")
+    more = materialize(missing_links(sets, classes, threshold), "links")
+    if more.take(1):
+        edges = edges.union(more)
+        classes = connected_components(edges, "a", "b")
+    classes = classes.withColumnRenamed("node", "of")
     degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("deg"))
     named = classes.join(degree.withColumnRenamed("node", "of"), "of", "left")
     return (

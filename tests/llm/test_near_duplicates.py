@@ -67,6 +67,26 @@ def test_a_hot_group_of_edited_copies_stays_whole(spark):
     assert len({r["group_id"] for r in groups}) == 1
 
 
+def test_a_hot_group_with_words_of_their_own_stays_whole(spark):
+    rng = random.Random(3)
+    shared = [f"shared{k}" for k in range(30)]
+    rows = []
+    for i in range(600):
+        own = [f"own{i}x{k}" for k in range(rng.choice([7, 8, 9, 10]))]  # Jaccard from 0.6 to 0.68
+        rows.append((i, " ".join(shared + own)))
+    rows += [(10_000 + i, " ".join(f"v{rng.randrange(3000)}" for _ in range(30))) for i in range(1200)]
+    groups = nd.near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert len({r["group_id"] for r in groups if r["rec_id"] < 10_000}) == 1
+    assert len({r["group_id"] for r in groups if r["rec_id"] >= 10_000}) == len({" ".join(sorted(set(t.split()))) for i, t in rows if i >= 10_000})
+
+
+def test_groups_are_whole_where_the_trees_miss_nearly_all(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 20, raising=False)
+    rows = list(enumerate(_corpus(random.Random(4), 250)))
+    groups = nd.near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t", trees=1, window=1)
+    assert {(r["cand_a"], r["cand_b"]) for r in nd.grouped_pairs(groups).collect()} == _groups(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert nd.near_duplicate_groups(df, "id", "t").count() == 0
