@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from stratamem.operators.components import connected_components
@@ -190,35 +191,66 @@ def _signatures(weights: np.ndarray, trees: int):
     return run
 
 
+def _pairs_within(now: np.ndarray, slack: float, window: int, part: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of nodes at most ``window`` entries apart (of different parts, if given), smaller node first."""
+    key, low, high, node = now
+    n = (high >> _U(48)).astype(np.int64)
+    open_ended = n >= 65535
+    found = [np.zeros((2, 0), np.int64)]
+    for step in range(1, min(window, len(key) - 1) + 1):
+        apart = np.bitwise_count(low[step:] ^ low[:-step]).astype(np.int64)
+        apart += np.bitwise_count((high[step:] ^ high[:-step]) << _U(16))
+        near = (apart <= slack * (n[step:] + n[:-step]) + 1e-9) | open_ended[step:] | open_ended[:-step]
+        near &= ((key[step:] ^ key[:-step]) >> _U(45) == 0) & (node[step:] != node[:-step])
+        if part is not None:
+            near &= part[step:] != part[:-step]
+        at = np.flatnonzero(near)
+        ends = np.stack([node[at], node[at + step]]).view(np.int64)
+        found.append(np.stack([ends.min(axis=0), ends.max(axis=0)]))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+_ENTRIES = ["part", "a", "b", "c", "d"]
+
+
 def _neighbours(threshold: float, window: int):
+    """Pairs ``(-1, a, b, 0, 0)``, and the first and last entries of the partition under its number."""
     slack = (1 - threshold) / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        tail, head = None, np.zeros((4, 0), _U)
         for batch in batches:
             now = np.stack([batch.column(i).to_numpy().view(_U) for i in range(4)])
+            fresh = 0 if tail is None else tail.shape[1]
             if tail is not None:
                 now = np.concatenate([tail, now], axis=1)
             if now.shape[1] > 1:  # a run of one set is one entry
                 same = (now[:, 1:] == now[:, :-1]).all(axis=0)
                 now = now[:, np.append(True, ~same)]
-            key, low, high, node = now
-            n = (high >> _U(48)).astype(np.int64)
-            open_ended = n >= 65535
-            found = []
-            for step in range(1, min(window, len(key) - 1) + 1):
-                apart = np.bitwise_count(low[step:] ^ low[:-step]).astype(np.int64)
-                apart += np.bitwise_count((high[step:] ^ high[:-step]) << _U(16))
-                near = (apart <= slack * (n[step:] + n[:-step]) + 1e-9) | open_ended[step:] | open_ended[:-step]
-                near &= ((key[step:] ^ key[:-step]) >> _U(45) == 0) & (node[step:] != node[:-step])
-                at = np.flatnonzero(near)
-                found.append((node[at], node[at + step]))
+            head = np.concatenate([head, now[:, fresh : fresh + window - head.shape[1]]], axis=1)
+            pairs = _pairs_within(now, slack, window)
             tail = now[:, -window:]
-            if found:
-                a = np.concatenate([x for x, _ in found]).view(np.int64)
-                b = np.concatenate([y for _, y in found]).view(np.int64)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            none = np.zeros(pairs.shape[1], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32) - 1), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(none), pa.array(none)], names=_ENTRIES)
+        if tail is not None:
+            ends = np.unique(np.concatenate([head, tail], axis=1), axis=1).view(np.int64)
+            part = np.full(ends.shape[1], TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x) for x in ends)], names=_ENTRIES)
+
+    return run
+
+
+def _across(threshold: float, window: int):
+    """Pairs of neighbours on two sides of a cut, from the partitions' first and last entries."""
+    slack = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]) for batch in batches]
+        if rows:
+            part, *entry = np.concatenate(rows, axis=1)
+            order = np.lexsort((*entry[::-1], part))
+            pairs = _pairs_within(np.stack([x[order] for x in entry]).view(_U), slack, window, part[order])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
@@ -366,8 +398,9 @@ def links(sets: DataFrame, threshold: float = 0.6, trees: int = 8, window: int =
     marked = sets.join(_single_words(sets), "node", "left").select("node", "words", F.coalesce("single", F.array().cast("array<int>")).alias("single"))
     signs = marked.mapInArrow(_signatures(weights, trees), "key bigint, low bigint, high bigint, node bigint")
     ordered = signs.repartitionByRange("key", "low", "high", "node").sortWithinPartitions("key", "low", "high", "node")
-    pairs = ordered.mapInArrow(_neighbours(threshold, window), "a bigint, b bigint").distinct()
-    return _checked(pairs, sets, threshold)
+    near = materialize(ordered.mapInArrow(_neighbours(threshold, window), "part int, a bigint, b bigint, c bigint, d bigint"), "pairs")
+    cut = near.where("part >= 0").repartition(1).mapInArrow(_across(threshold, window), "a bigint, b bigint")  # twice the window a partition
+    return _checked(near.where("part < 0").select("a", "b").union(cut).distinct(), sets, threshold)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:

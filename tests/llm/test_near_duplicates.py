@@ -87,6 +87,22 @@ def test_groups_are_whole_where_the_trees_miss_nearly_all(spark, monkeypatch):
     assert {(r["cand_a"], r["cand_b"]) for r in nd.grouped_pairs(groups).collect()} == _groups(rows)
 
 
+def test_links_do_not_depend_on_the_partitions(spark):
+    rows = list(enumerate(_corpus(random.Random(5), 600)))
+    sets = nd.word_sets(spark.createDataFrame(rows, "id long, t string"), "id", "t").cache()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({(r["a"], r["b"]) for r in nd.links(sets, trees=1).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and found[0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert nd.near_duplicate_groups(df, "id", "t").count() == 0
