@@ -65,7 +65,7 @@ def _attempt(text: str, n: int, limit: int, overlap: int, at: list[int], strengt
         pieces.append((start, end))
         first = max(end - overlap, start + 1)
         x = bisect_left(at, first)
-        if x < len(at) and at[x] <= end:
+        if x < len(at) and at[x] < end:
             start = at[x]
         else:
             start = next((m.end() for m in regex.finditer(r"\X", text, pos=max(0, first - 16), endpos=end) if m.end() >= first), end)

@@ -100,6 +100,15 @@ def test_graphemes_and_runs():
     _check(long, splitting.split_offsets(long), 1000, 100)
 
 
+def test_a_piece_overlaps_an_unbroken_run_before_its_boundary():
+    text = " ".join("x" * 400 for _ in range(8))
+    pieces = splitting.split_offsets(text)
+    _check(text, pieces, 1000, 100)
+    assert len(pieces) > 1 and all(e - s == 100 for (s, _), (_, e) in zip(pieces[1:], pieces))
+    pieces = splitting.split_offsets("é".join(" " + "x" * 400 for _ in range(8)).replace("é", "e\u0301"))
+    assert all(0 < e - s <= 100 for (s, _), (_, e) in zip(pieces[1:], pieces))
+
+
 def test_split_table(spark):
     rows = [(1, "  " + "word " * 300 + "\n"), (2, "short"), (3, None), (4, " \t "), (1, "again"), (5, "x" * 990 + " " * 20)]
     df = spark.createDataFrame([(i, t, 9) for i, t in rows], "id long, content string, piece_no int")
