@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratamem.functions import metafilter, scope, text, vectors
 from stratamem.functions.keys import normalize_key
+from stratamem.functions.providers import HashEmbedder, embed
 from stratamem.operators import recall as R
 from stratamem.plans.corpus import ACTOR, LIVE, MEM, NOW, QUERY_TEXT, SQL_NOW, TENANT, VEC, chunks, documents, memory, now, query_vector, usable_vectors, with_vectors
 from stratamem.session import read_table
@@ -224,6 +225,36 @@ def hybrid_mode_concat(spark: SparkSession, d: str) -> DataFrame:
     return R.concat_modes(_recall(spark, d), R.search_chunks(chunks(spark, d), QUERY_TEXT, limit=10))
 
 
+def _embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).withColumn("embedding", embed(F.col("content"), HashEmbedder()))
+
+
+def _embedded_query() -> Column:
+    return F.array(*[F.lit(float(x)) for x in HashEmbedder()([QUERY_TEXT])[0]])
+
+
+@query()
+def chunk_search_fused(spark: SparkSession, d: str) -> DataFrame:
+    return R.search_chunks(_embedded_chunks(spark, d), QUERY_TEXT, _embedded_query(), limit=10).select("id", "document_id", "score")
+
+
+@query()
+def chunk_search_filtered_fused(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).where(metafilter.to_column(_TEAM, F.col("metadata")))
+    return R.search_chunks(_embedded_chunks(spark, d), QUERY_TEXT, _embedded_query(), limit=10, documents=docs).select("id", "document_id", "score")
+
+
+@query()
+def document_search_grouped_fused(spark: SparkSession, d: str) -> DataFrame:
+    hits = R.search_chunks(_embedded_chunks(spark, d), QUERY_TEXT, _embedded_query(), limit=R.chunk_budget(10))
+    return R.group_by_document(hits, 10).withColumn("chunks", F.md5(F.array_join("chunks", "|")))
+
+
+@query()
+def hybrid_mode_concat_fused(spark: SparkSession, d: str) -> DataFrame:
+    return R.concat_modes(_recall(spark, d), R.search_chunks(_embedded_chunks(spark, d), QUERY_TEXT, _embedded_query(), limit=10))
+
+
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return text.chunked(documents(spark, d).select("document_id", "content"))
