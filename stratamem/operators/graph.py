@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratamem.functions import scope, text
+from stratamem.operators.lifecycle import version_chain
 
 RELATIONS = ("extends", "derives")
 
@@ -54,6 +55,42 @@ def entities(said: DataFrame, limit: int = 50) -> DataFrame:
     return counts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).drop("rn")
 
 
+def actor_documents(documents: DataFrame, tenant: str, actor: str) -> DataFrame:
+    """``(document_id, title, received_at)``: all documents of the actor, newest first."""
+    mine = documents.where((F.col("tenant_id") == tenant) & (scope.container_actor(F.col("container_tag")) == actor))
+    return mine.orderBy(F.desc_nulls_last("received_at"), F.desc("document_id")).select("document_id", "title", "received_at")
+
+
+def aggregate_context(hits: DataFrame, memory: DataFrame, edges: DataFrame, said: DataFrame, sources: DataFrame, limit: int = 10) -> DataFrame:
+    """``(id, lane, via, other_id, value)``: what surrounds each hit of a truncated recall.
+
+    Lanes: ``parent`` (earlier versions and the ends of outgoing edges), ``child`` (later
+    versions and the starts of incoming ones), ``related`` (up to ``limit`` rows that share
+    surfaces) and ``source``. ``value`` is the version or the number of shared surfaces.
+    ``hits`` has an ``id`` a row; every other memory is of the hit's tenant and actor.
+    """
+    who = ["tenant_id", "actor_id"]
+    wanted = F.broadcast(hits.select("id").distinct())  # bounded by the recall's limit
+    own = memory.join(wanted, "id", "left_semi")
+    root = F.coalesce("root_id", "id")
+    roots = own.select(root.alias("_root")).distinct()
+    chain = version_chain(memory.join(F.broadcast(roots), root == F.col("_root"), "left_semi")).join(wanted, "id", "left_semi")
+    ends = wanted.select(F.col("id").alias("_hit"))
+    near = edges.join(ends, (F.col("from_id") == F.col("_hit")) | (F.col("to_id") == F.col("_hit")), "left_semi")
+    tied = endpoints(near, memory).join(wanted, "id", "left_semi")
+    narrow = said.join(F.broadcast(own.select(*who).distinct()), who, "left_semi")
+    alike = related(wanted, narrow.select(F.concat_ws("\x01", *who).alias("tenant_id"), "id", "surface"), limit)
+    none = F.lit(None).cast("bigint")
+    lanes = chain.select("id", F.when(F.col("is_parent"), "parent").otherwise("child").alias("lane"), F.lit("version").alias("via"), "other_id", F.col("version").cast("bigint").alias("value"))
+    lanes = lanes.unionAll(tied.select("id", F.when(F.col("outgoing"), "parent").otherwise("child"), "relation", "other_id", none))
+    lanes = lanes.unionAll(alike.select("id", F.lit("related"), F.lit("entity"), "other_id", "shared"))
+    mine = own.select("id", *who)
+    other = memory.select(F.col("id").alias("other_id"), *who)
+    scoped = lanes.join(F.broadcast(mine), "id").join(other, ["other_id", *who], "left_semi").select("id", "lane", "via", "other_id", "value")
+    stems = own.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    return scoped.unionAll(stems.select("id", F.lit("source"), F.lit("source"), F.col("source_id"), none))
+
+
 def neighbours(memory: DataFrame, limit: int = 10) -> DataFrame:
     """``(id, other_id, rank)``: for each current row the newest others with its tenant, actor and subject.
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratamem.functions import scope, text, vectors
+from stratamem.operators.lifecycle import profiles
 
 #: Rank constant, least fan-out of a leg, decay of recency in seconds.
 RRF_K, FAN_OUT, DECAY_S = 60, 50, 2_592_000.0
@@ -94,6 +95,16 @@ def recall(
     return weighted.drop("rrf").orderBy(F.desc("score"), F.desc_nulls_last("recorded_at"), "id").limit(n)
 
 
+def profile_with_query(memory: DataFrame, tenant: str, actor: str, now: Column, query_text: str | None = None, query_vector: Column | None = None, **bounds) -> tuple[DataFrame, DataFrame | None]:
+    """The actor's profile row and, unless the query is blank, what is recalled of the actor for it.
+
+    ``bounds`` (limit, tags, where, rewriter) apply to the recall only, never to the profile.
+    """
+    rows = memory.where((F.col("tenant_id") == tenant) & (F.col("actor_id") == actor))
+    asked = bool(query_text and query_text.strip())
+    return profiles(rows, now), recall(rows, now, query_vector, query_text, actor=actor, **bounds) if asked else None
+
+
 def search_chunks(chunks: DataFrame, query_text: str | None = None, query_vector: Column | None = None, limit: int | None = None, tags: Sequence[str] = (), documents: DataFrame | None = None) -> DataFrame:
     """The best chunks with their fused ``score``; a document filter is a semi-join before the legs."""
     n = max(1, limit or 10)

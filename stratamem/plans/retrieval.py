@@ -192,6 +192,16 @@ def rewrite_recall(spark: SparkSession, d: str) -> DataFrame:
     return R.recall(rows, now(), query_vector(spark, d), "what keeps what", rewriter=lambda q: QUERY_TEXT).select("id", "content", "score")
 
 
+@query()
+def profile_query(spark: SparkSession, d: str) -> DataFrame:
+    rows = with_vectors(spark, d, scope.tenant_scan(memory(spark, d), TENANT))
+    own, found = R.profile_with_query(rows, TENANT, ACTOR, now(), QUERY_TEXT, query_vector(spark, d))
+    lines = [own.select(F.lit(part).alias("part"), F.posexplode(part).alias("pos", "content")) for part in ("static_facts", "dynamic_ctx")]
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.unix_micros("recorded_at")).alias("r"), "id", "content")))
+    hits = found.agg(order.alias("hits")).select(F.lit("relevant"), F.posexplode(F.transform("hits", lambda h: h["content"])))
+    return lines[0].unionAll(lines[1]).unionAll(hits)
+
+
 _CHUNK = "(select chunk_id as id, ingest_id as document_id, content from doc_chunks)"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratamem.functions import text
+from stratamem.functions import scope, text
 from stratamem.functions.keys import normalize_key
 from stratamem.operators import evaluation, graph, ingest, lifecycle, resolve
 from stratamem.plans.corpus import ACTOR, LIVE, MEM, SQL_NOW, TENANT, documents, lifecycle_rows, memory, now
@@ -223,6 +223,23 @@ def related_memories(spark: SparkSession, d: str) -> DataFrame:
     return graph.related(seed, graph.mentions(rows))
 
 
+@query(
+    f"with p as (select *, string_split(container_tag, ':') as p from ingest_requests where tenant_id = '{TENANT}') select ingest_id as document_id, title, epoch_us(received_at) as received_us from p "
+    f"where case when len(p) > 1 and p[-2] = 'user' then 'user:' || p[-1] else p[-1] end = '{ACTOR}' order by received_at desc nulls last, ingest_id desc"
+)
+def actor_documents(spark: SparkSession, d: str) -> DataFrame:
+    return graph.actor_documents(documents(spark, d), TENANT, ACTOR).select("document_id", "title", F.unix_micros("received_at").alias("received_us"))
+
+
+@query()
+def aggregate_context(spark: SparkSession, d: str) -> DataFrame:
+    """Around the tenant's ten newest current rows, after every preference was edited."""
+    rows = lifecycle.versioned_update(lifecycle_rows(memory(spark, d)), _edits(spark, d), now())
+    hits = rows.where(scope.current() & (F.col("tenant_id") == TENANT)).orderBy(F.desc("recorded_at"), "id").limit(10)
+    sources = read_table(spark, d, "add_requests").select(F.col("request_id").alias("source_id"))
+    return graph.aggregate_context(hits, rows, _edges(spark, d), graph.mentions(rows.where(scope.current())), sources)
+
+
 @query(
     "with once as (select ingest_id from (select *, row_number() over (partition by tenant_id, custom_id order by received_at, ingest_id) as rn from ingest_requests where custom_id is not null) where rn = 1) "
     "select ingest_id, custom_id is not null as named from ingest_requests where custom_id is null or ingest_id in (select ingest_id from once)"
