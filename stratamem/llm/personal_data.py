@@ -48,6 +48,7 @@ PHONE = re.compile(
     r"(?<![\w.,/-])(?P<item>\+?(?:\(\+?\d{1,5}\)[ .\-/]?|\d)[\d]*(?:(?:[ .\-/]|[ .\-/]?\(\d{1,5}\)[ .\-/]?)?\d+)+)(?!\w)"
 )
 _PHONE_CUE = re.compile(r"(?:\b(?:tel|phone|ph|call|ring|mobile|mob|cell|fax|backup|whatsapp|dial|text|reach me|number changed|remember)\b(?:\W+\w+){0,3}\W*$)", re.I)
+_LOCAL_CUE = re.compile(r"\b(?:tel|phone|telephone|call|ring|mobile|mob|cell|fax|dial|whatsapp)\b\.?(?: (?:me|us|him|her|them))?(?: (?:on|at|under|is|number))*[ :]*$", re.I)
 
 _ID_FORMS = [
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]",  # national insurance
@@ -120,6 +121,8 @@ def _phone_like(item: str, before: str, after: str) -> bool:
         return True
     if re.fullmatch(r"0\d(?:[ .]\d{2}){4}", item) or re.fullmatch(r"\d{3}[-. ]\d{3}[-. ]\d{4}", item):
         return True
+    if _LOCAL_CUE.search(before[-24:]):  # a local number, right behind its cue
+        return True
     return len(digits) >= 9 and (cue or (before.endswith("(") and after.startswith(")")))
 
 

@@ -61,6 +61,13 @@ def test_any_text_is_sanitized_outside_items_only(t):
         assert clean == t
 
 
+def test_local_phone_numbers_behind_a_cue():
+    for t, n in (("call me on 555 0173 later", "555 0173"), ("tel: 4455 6677", "4455 6677"), ("Dial 555-0173.", "555-0173")):
+        assert [(t[s:e], k) for s, e, k in pd_.structured_items(t)] == [(n, "phone")]
+    for t in ("order 555 0173 came", "call on 2024-05-17", "we counted 4455 6677 of them"):
+        assert pd_.structured_items(t) == []
+
+
 # ---- splitting
 
 
