@@ -4,10 +4,12 @@ A text is its set of words (maximal runs of letters or digits, lower-cased). Two
 linked if the Jaccard similarity of the sets reaches the threshold; groups are the closed
 classes of the links.
 
-Each tree of the forest orders a text's words by a hash and keeps the leading words as a signature of up to four levels. All signatures of a
-tree are sorted, and a text's candidates are its neighbours in that order that share the
-longest prefixes: in sparse regions the neighbourhood spans everything that shares the first
-word, in dense regions only what shares two, three or four, so the depth adapts by region.
+Each tree of the forest orders a text's words by a hash of its own and keeps the leading four
+as a signature; all signatures of a tree are sorted. Depth adapts by region: a text's region
+is the longest run of signatures around it that share the first word and has at most
+``REGION`` entries, else the first two, three or four words, and everything in the region is
+a candidate. Where even four words leave a fuller region, the nearest ``window`` entries are
+candidates and the exact search below takes the rest.
 In most trees the hash is weighted, so that rare words tend to come first and texts that only
 share common words stay apart; in the others all words weigh the same, so that copies made of
 words that are common (a group may be a large part of all texts) meet whatever is added.
@@ -17,10 +19,11 @@ only one set are left out of the signatures: no other text can share them.
 
 What the forest leaves in different classes is compared without a cap: two sets that reach
 the threshold share one of their first words in any common order, rare words first here, so
-all texts with such a word are compared with all others that have it (again by parity bitmap,
-then exactly). Its cost grows with the square of a word's texts.
+all texts with such a word are compared with all others of another class that have it (again
+by parity bitmap, then exactly). Its cost grows with the square of a word's texts.
 
-Exact copies are one node, named by the hash of the word set, and never reach the pair stages twice.
+Exact copies are one node, named by the hash of the word set, and never reach the pair stages
+twice. Word sets are stored once, bucketed by node, so no later join shuffles them again.
 """
 
 from __future__ import annotations
@@ -32,11 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from stratamem.operators.components import connected_components
-from stratamem.session import materialize
+from stratamem.session import materialize, materialize_bucketed
 
 WORD = re.compile(r"[^\W_]+")
 #: Buckets of the document-frequency table: its size, and so the broadcast, never grows.
@@ -46,9 +48,18 @@ HALF_WEIGHT_SHARE = 0.005
 LEVELS = 4
 #: Trees in which all words weigh the same, of every eight.
 EVEN_OF_8 = 3
+#: Most entries of a region that is compared whole.
+REGION = 64
+#: Entries of a tree aimed at in one range, and sets that the ranges' bounds are drawn from
+#: (bounds decide which task sorts an entry, not what is found).
+RANGE, RANGE_SAMPLE = 40_000, 50_000
 #: Texts with one leading word beyond which they are compared block by block.
 BLOCK = 1 << 16
+#: Members from which a class is set against the others as a whole.
+LARGE_CLASS = 64
 _U = np.uint64
+_LABEL = _U(0x7FFF)
+_LAST = _U(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,15 +131,15 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     )
 
 
-def _document_shares(sets: DataFrame) -> np.ndarray:
-    """Share of texts per word bucket, over all texts."""
+def _document_shares(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """Share of texts per word bucket, over all texts, and their number."""
     rows = sets.select("words").mapInArrow(_bucket_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = {r["bucket"]: r["n"] for r in rows}
+    n_sets = counts.pop(-1, 0)
     out = np.zeros(DF_BUCKETS)
     for k, v in counts.items():
-        if k >= 0:
-            out[k] = v
-    return out / max(1, counts.get(-1, 0))
+        out[k] = v
+    return out / max(1, n_sets), n_sets
 
 
 def _bitmaps(words: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,72 +151,142 @@ def _bitmaps(words: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[n
     return low, high | np.minimum(lens, 65535).astype(_U) << _U(48)
 
 
-def _signatures(weights: np.ndarray, trees: int):
+def _forest_keys(words: np.ndarray, starts: np.ndarray, lens: np.ndarray, single: np.ndarray, weights: np.ndarray, trees: int) -> np.ndarray:
+    """Per tree and set the tree's number and the labels of the set's leading words; 0 labels where words run out."""
+    out = np.zeros((trees, len(lens)), _U)
+    by_length = np.argsort(lens, kind="stable")
+    at = 0
+    while at < len(by_length):
+        upto = at + 1
+        while upto < len(by_length) and upto - at < 4096 and (upto + 1 - at) * lens[by_length[upto]] < 2_000_000:
+            upto += 1
+        rows, wide = by_length[at:upto], int(lens[by_length[upto - 1]])
+        at = upto
+        span = np.arange(wide)
+        place = np.minimum(starts[rows][:, None] + span, len(words) - 1)
+        own = words[place]
+        shut = (span >= lens[rows][:, None]) | single[place]
+        able = (~shut).sum(axis=1)
+        weight = weights[_bucket(own)]
+        top = min(LEVELS, wide)
+        for t in range(trees):
+            h = _mix(own.astype(_U) + _U(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1)))
+            if t % 8 >= EVEN_OF_8:  # an exponential of rate weight: positive floats order as their bits do
+                u = ((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
+                h = (-np.log(u) / weight).view(_U) & ~_LABEL | h & _LABEL
+            h[shut] = _LAST
+            lead = np.sort(np.partition(h, top - 1, axis=1)[:, :top], axis=1) & _LABEL
+            key = np.full(len(rows), t, _U)
+            for d in range(LEVELS):
+                key = key << _U(15) | (np.where(d < able, lead[:, d], _U(0)) if d < top else _U(0))
+            out[t, rows] = key
+    return out
+
+
+def _entries(batch: pa.RecordBatch, weights: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by tree, bitmaps and nodes of a batch's sets (node, words, single) that share a word with another set."""
+    node = batch.column(0).to_numpy()
+    words, offsets = _flat(batch.column(1))
+    single, single_offsets = _flat(batch.column(2))
+    lens, starts = np.diff(offsets), offsets[:-1].astype(np.int64)
+    low, high = _bitmaps(words, starts, lens)
+    own = np.zeros(len(words), bool)
+    if len(single):
+        row = np.repeat(np.arange(len(node)), lens).astype(_U) << _U(32)
+        of = np.repeat(np.arange(len(node)), np.diff(single_offsets)).astype(_U) << _U(32)
+        own = np.isin(row | words, of | single)
+    keys = _forest_keys(words, starts, lens, own, weights, trees)
+    some = np.add.reduceat(~own, starts) > 0
+    return keys[:, some], low[some], high[some], node[some]
+
+
+class _Ranges:
+    """Which range of its tree's order an entry falls into."""
+
+    def __init__(self, keys: np.ndarray, low: np.ndarray, per_tree: int):
+        self.bounds = []
+        low = low.view(np.int64)  # as the entries are sorted
+        for own in keys:
+            order = np.lexsort((low, own))
+            cut = order[np.arange(1, per_tree) * len(order) // per_tree] if len(order) else order
+            self.bounds.append((own[cut], low[cut]))
+        self.per_tree = per_tree
+
+    def of(self, tree: int, key: np.ndarray, low: np.ndarray) -> np.ndarray:
+        bound_key, bound_low = self.bounds[tree]
+        low = low.view(np.int64)
+        first, last = np.searchsorted(bound_key, key, "left"), np.searchsorted(bound_key, key, "right")
+        at = first.copy()
+        once = np.flatnonzero(last - first == 1)
+        at[once] += low[once] >= bound_low[first[once]]
+        often = np.flatnonzero(last - first > 1)
+        for k in np.unique(key[often]):  # a key of very many entries is cut by their bitmaps
+            own = often[key[often] == k]
+            at[own] += np.searchsorted(bound_low[first[own[0]] : last[own[0]]], low[own], "right")
+        return tree * self.per_tree + at
+
+
+def _signatures(weights: np.ndarray, trees: int, ranges: _Ranges):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            words, offsets = _flat(batch.column(1))
-            if not len(node):
+            if not batch.num_rows:
                 continue
-            _, first = np.unique(node, return_index=True)  # copies within a batch go no further
-            lens = np.diff(offsets)
-            keep = np.zeros(len(node), bool)
-            keep[first] = True
-            words, node, lens = words[np.repeat(keep, lens)], node[keep], lens[keep]
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            low, high = _bitmaps(words, starts, lens)
-            single, single_offsets = _flat(batch.column(2))
-            if len(single):  # words no other set has
-                place = np.full(len(keep), -1)
-                place[keep] = np.arange(len(node))
-                of_row = place[np.repeat(np.arange(len(keep)), np.diff(single_offsets))]
-                single, of_row = single[of_row >= 0], of_row[of_row >= 0]
-                own = np.isin(np.repeat(np.arange(len(node)), lens).astype(_U) << _U(32) | words, of_row.astype(_U) << _U(32) | single)
-                shared = np.add.reduceat(~own, starts)
-                stay, some = np.repeat(shared > 0, lens) & ~own, shared > 0
-                words, node, low, high, lens = words[stay], node[some], low[some], high[some], shared[some]
-                starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-            row = np.repeat(np.arange(len(node)), lens)
-            wide = words.astype(_U)
-            weight = weights[_bucket(words)]
-            keys = []
-            for t in range(trees):
-                u = (_mix(wide + _U(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1))) >> _U(11)).astype(np.float64) * 2.0**-53
-                order = np.lexsort((words, -np.log(u + 1e-18) / (1.0 if t % 8 < EVEN_OF_8 else weight), row))
-                ordered = words[order]
-                key = np.full(len(node), t, _U)
-                for d in range(LEVELS):
-                    part = _mix(ordered[np.minimum(starts + d, starts + lens - 1)].astype(_U) + _U(t * 7919)) >> _U(49)
-                    key = (key << _U(15)) | np.where(d < lens, part, _U(0))
-                keys.append(key)
+            keys, low, high, node = _entries(batch, weights, trees)
+            at = [ranges.of(t, key, low).astype(np.int32) for t, key in enumerate(keys)]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.concatenate(at)),
                     pa.array(np.concatenate(keys).view(np.int64)),
                     pa.array(np.tile(low.view(np.int64), trees)),
                     pa.array(np.tile(high.view(np.int64), trees)),
                     pa.array(np.tile(node, trees)),
                 ],
-                names=["key", "low", "high", "node"],
+                names=["range", "key", "low", "high", "node"],
             )
 
     return run
 
 
+def _depths(key: np.ndarray) -> np.ndarray:
+    """The fewest leading words for which an entry's region is at most REGION; one more than LEVELS if none is."""
+    depth = np.full(len(key), LEVELS + 1, np.uint8)
+    for d in range(LEVELS, 0, -1):
+        lead = key >> _U(15 * (LEVELS - d))
+        edge = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+        size = np.diff(np.append(edge, len(key)))
+        depth[np.repeat(size, size) <= REGION] = d
+    return depth
+
+
 def _pairs_within(now: np.ndarray, slack: float, window: int, part: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of nodes at most ``window`` entries apart (of different parts, if given), smaller node first."""
+    """Candidate pairs of sorted entries (of different parts, if given), smaller node first.
+
+    Two entries are candidates if one is in the other's region, or if they share the first
+    word and are at most ``window`` places apart.
+    """
     key, low, high, node = now
     n = (high >> _U(48)).astype(np.int64)
     open_ended = n >= 65535
+    depth = _depths(key)
     found = [np.zeros((2, 0), np.int64)]
-    for step in range(1, min(window, len(key) - 1) + 1):
-        apart = np.bitwise_count(low[step:] ^ low[:-step]).astype(np.int64)
-        apart += np.bitwise_count((high[step:] ^ high[:-step]) << _U(16))
-        near = (apart <= slack * (n[step:] + n[:-step]) + 1e-9) | open_ended[step:] | open_ended[:-step]
-        near &= ((key[step:] ^ key[:-step]) >> _U(45) == 0) & (node[step:] != node[:-step])
+    for step in range(1, min(max(window, REGION), len(key) - 1) + 1):
+        common = key[step:] ^ key[:-step]
+        level = np.minimum(depth[step:], depth[:-step])
+        if step <= window:
+            level = np.ones_like(level)
+        at = np.flatnonzero((level <= LEVELS) & (common >> (_U(15) * np.maximum(0, LEVELS - level.astype(np.int64)).astype(_U)) == 0))
+        if not len(at):
+            if step > window:
+                break  # no region reaches so far
+            continue
+        to = at + step
+        apart = np.bitwise_count(low[to] ^ low[at]).astype(np.int64)
+        apart += np.bitwise_count((high[to] ^ high[at]) << _U(16))
+        near = (apart <= slack * (n[to] + n[at]) + 1e-9) | open_ended[to] | open_ended[at]
+        near &= node[to] != node[at]
         if part is not None:
-            near &= part[step:] != part[:-step]
-        at = np.flatnonzero(near)
-        ends = np.stack([node[at], node[at + step]]).view(np.int64)
+            near &= part[to] != part[at]
+        ends = np.stack([node[at[near]], node[to[near]]]).view(np.int64)
         found.append(np.stack([ends.min(axis=0), ends.max(axis=0)]))
     return np.unique(np.concatenate(found, axis=1), axis=1)
 
@@ -213,35 +294,48 @@ def _pairs_within(now: np.ndarray, slack: float, window: int, part: np.ndarray |
 _ENTRIES = ["part", "a", "b", "c", "d"]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows that agree in the first ``by`` columns, in sorted input, each whole and as record batches."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lead = np.stack([batch.column(i).to_numpy() for i in range(by)])
+        edge = [0, *(np.flatnonzero((lead[:, 1:] != lead[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if waiting and any(waiting[-1].column(i)[-1].as_py() != int(lead[i, 0]) for i in range(by)):
+            yield waiting
+            waiting = []
+        for a, b in zip(edge, edge[1:]):
+            if waiting and a:
+                yield waiting
+                waiting = []
+            waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield waiting
+
+
 def _neighbours(threshold: float, window: int):
-    """Pairs ``(-1, a, b, 0, 0)``, and the first and last entries of the partition under its number."""
+    """Pairs ``(-1, a, b, 0, 0)``, and the first and last entries of each range under its number."""
     slack = (1 - threshold) / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, head = None, np.zeros((4, 0), _U)
-        for batch in batches:
-            now = np.stack([batch.column(i).to_numpy().view(_U) for i in range(4)])
-            fresh = 0 if tail is None else tail.shape[1]
-            if tail is not None:
-                now = np.concatenate([tail, now], axis=1)
-            if now.shape[1] > 1:  # a run of one set is one entry
-                same = (now[:, 1:] == now[:, :-1]).all(axis=0)
-                now = now[:, np.append(True, ~same)]
-            head = np.concatenate([head, now[:, fresh : fresh + window - head.shape[1]]], axis=1)
+        for parts in _groups(batches, 1):
+            now = np.concatenate([np.stack([p.column(i).to_numpy().view(_U) for i in range(1, 5)]) for p in parts], axis=1)
+            same = (now[:, 1:] == now[:, :-1]).all(axis=0)  # a run of one set is one entry
+            now = now[:, np.append(True, ~same)]
             pairs = _pairs_within(now, slack, window)
-            tail = now[:, -window:]
             none = np.zeros(pairs.shape[1], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(none.astype(np.int32) - 1), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(none), pa.array(none)], names=_ENTRIES)
-        if tail is not None:
-            ends = np.unique(np.concatenate([head, tail], axis=1), axis=1).view(np.int64)
-            part = np.full(ends.shape[1], TaskContext.get().partitionId(), np.int32)
+            reach = max(window, REGION)
+            ends = np.unique(np.concatenate([now[:, :reach], now[:, -reach:]], axis=1), axis=1).view(np.int64)
+            part = np.full(ends.shape[1], parts[0].column(0)[0].as_py(), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x) for x in ends)], names=_ENTRIES)
 
     return run
 
 
 def _across(threshold: float, window: int):
-    """Pairs of neighbours on two sides of a cut, from the partitions' first and last entries."""
+    """Pairs of neighbours on two sides of a cut, from the ranges' first and last entries."""
     slack = (1 - threshold) / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,26 +343,39 @@ def _across(threshold: float, window: int):
         if rows:
             part, *entry = np.concatenate(rows, axis=1)
             order = np.lexsort((*entry[::-1], part))
-            pairs = _pairs_within(np.stack([x[order] for x in entry]).view(_U), slack, window, part[order])
+            pairs = _pairs_within(np.stack([x[order] for x in entry]).view(_U), slack, max(window, REGION), part[order])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
 
+def _blobs(sorted_values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values between each two bounds as bytes."""
+    width = sorted_values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sorted_values))])
+
+
+_CELLS = "word int, cell bigint, side int, low binary, high binary, node binary, part binary"
+
+
 def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
-    """Entries of the words that may be the first shared one of two alike sets, rare words first."""
+    """Entries of the words that may be the first shared one of two alike sets, rare words first.
+
+    Sets and classes are told by 32 bits of their names here; the names are looked up again
+    for the pairs that come out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             node, part = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             words, offsets = _flat(batch.column(1))
-            if not len(node):
-                continue
-            lens = np.diff(offsets)
-            starts = offsets[:-1].astype(np.int64)
+            lens, starts = np.diff(offsets), offsets[:-1].astype(np.int64)
             low, high = _bitmaps(words, starts, lens)
             row = np.repeat(np.arange(len(node)), lens)
-            ordered = words[np.lexsort((words, shares[_bucket(words)], row))]
+            rank = np.argsort(np.argsort(shares, kind="stable"), kind="stable").astype(_U)[_bucket(words)]
+            ordered = words[np.lexsort((rank << _U(32) | words, row))]
             first = lens - np.ceil(threshold * lens - 1e-9).astype(np.int64) + 1
             lead = np.arange(len(words)) - starts[row] < first[row]
             word, of = ordered[lead], row[lead]
@@ -277,130 +384,150 @@ def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
             # a block meets itself and every other once: cell (i, j), i <= j, holds the blocks i and j
             total = int(blocks.sum())
             other = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            at, word, of = np.repeat(at, blocks), np.repeat(word, blocks), np.repeat(of, blocks)
-            cell = np.minimum(at, other) << 24 | np.maximum(at, other)
-            for k in range(0, total, 200_000):
-                x = of[k : k + 200_000]
+            for k in range(0, total, 400_000):
+                span = np.searchsorted(np.cumsum(blocks), np.arange(k, min(k + 400_000, total)), "right")
+                here, there = at[span], other[k : k + 400_000]
+                cell, side = np.minimum(here, there) << 24 | np.maximum(here, there), (here > there).astype(np.int32)
+                w, x = word[span], of[span]
+                grouped = part[x] != node[x]
+                order = np.lexsort((grouped, side, cell, w))
+                w, cell, side, x = w[order], cell[order], side[order], x[order]
+                edge = np.flatnonzero((w[1:] != w[:-1]) | (cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1
+                bounds = np.concatenate([[0], edge, [len(w)]])
+                own, its = (node[x] >> 32).astype(np.int32), (part[x] >> 32).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(word[k : k + 200_000].view(np.int32)),
-                        pa.array(cell[k : k + 200_000]),
-                        pa.array(at[k : k + 200_000]),
-                        pa.array(low[x].view(np.int64)),
-                        pa.array(high[x].view(np.int64)),
-                        pa.array(node[x]),
-                        pa.array(part[x]),
-                    ],
-                    names=["word", "cell", "at", "low", "high", "node", "part"],
+                    [pa.array(w[bounds[:-1]].view(np.int32)), pa.array(cell[bounds[:-1]]), pa.array(side[bounds[:-1]]), *(_blobs(v, bounds) for v in (low[x], high[x], own, own ^ its))],
+                    names=["word", "cell", "side", "low", "high", "node", "part"],
                 )
 
     return run
 
 
-def _compare(rows: np.ndarray, slack: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one cell in different classes that the bitmaps do not tell apart."""
-    _, cell, at, low, high, node, part = rows
-    n = (high.view(_U) >> _U(48)).astype(np.int64)
-    order = np.argsort(n, kind="stable")
-    at, low, high, node, part, n = at[order], low[order].view(_U), high[order].view(_U) << _U(16), node[order], part[order], n[order]
-    crossed = cell[0] >> 24 != cell[0] & 0xFFFFFF
-    high_end = np.where(n >= 65535, len(n), np.searchsorted(n, np.floor(n / threshold + 1e-9), "right"))
-    high_end[(n / threshold) >= 65535] = len(n)
-    may = np.where(n >= 65535, 1e6, slack * n + 5e-4).astype(np.float32)
-    step = max(1, 400_000 // len(n))
+def _compare(rows: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...] | None, slack: float, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of entries (of one list, or of two) in different classes that the bitmaps do not tell apart."""
+
+    def prepared(entries):
+        low, high, node, part = entries
+        n = (high >> _U(48)).astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        loose = np.where(n >= 65535, 127, np.minimum(np.ceil(slack * n), 127)).astype(np.uint8)
+        return low[order], high[order] << _U(16), node[order], part[order], n[order], loose[order]
+
+    low, high, node, part, n, loose = prepared(rows)
+    low2, high2, node2, part2, n2, loose2 = (low, high, node, part, n, loose) if others is None else prepared(others)
+    begin = np.searchsorted(n2, np.ceil(threshold * n - 1e-9), "left") if others is not None else np.arange(len(n)) + 1
+    end = np.where(n / threshold >= 65535, len(n2), np.searchsorted(n2, np.floor(n / threshold + 1e-9), "right"))
+    step = max(1, 262_144 // max(1, len(n2)))
     for i in range(0, len(n), step):
         j = min(i + step, len(n))
-        end = int(high_end[i:j].max())
-        a, b = slice(i, j), slice(i, end)
-        apart = np.bitwise_count(low[a, None] ^ low[b]) + np.bitwise_count(high[a, None] ^ high[b])
-        near = apart <= may[a, None] + may[b]
-        near &= part[a, None] != part[b]
-        if crossed:
-            near &= at[a, None] != at[b]
-        x, y = np.nonzero(near)
-        keep = y > x
-        yield node[i + x[keep]], node[i + y[keep]]
+        a, b = int(begin[i:j].min()), int(end[i:j].max())
+        if a >= b:
+            continue
+        apart = np.bitwise_count(low[i:j, None] ^ low2[a:b])
+        at = np.flatnonzero(apart <= loose[i:j, None] + loose2[a:b])
+        x, y = at // (b - a) + i, at % (b - a) + a
+        keep = part[x] != part2[y]
+        if others is None:
+            keep &= y > x
+        x, y, at = x[keep], y[keep], at[keep]
+        full = apart.ravel()[at].astype(np.int64) + np.bitwise_count(high[x] ^ high2[y])
+        keep = (full <= slack * (n[x] + n2[y]) + 1e-9) | (n[x] >= 65535) | (n2[y] >= 65535)
+        yield np.stack([node[x[keep]], node2[y[keep]]])
+
+
+def _cell_pairs(sides: list[tuple[np.ndarray, ...]], slack: float, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of one cell: within its only block, or between its two. Large classes meet the others as a whole, never themselves."""
+    if len(sides) == 2:
+        yield from _compare(sides[0], sides[1], slack, threshold)
+        return
+    rest = sides[0]
+    names, counts = np.unique(rest[3], return_counts=True)
+    for name in names[counts >= LARGE_CLASS]:
+        mine = rest[3] == name
+        own, rest = tuple(v[mine] for v in rest), tuple(v[~mine] for v in rest)
+        yield from _compare(own, rest, slack, threshold)
+    yield from _compare(rest, None, slack, threshold)
 
 
 def _cells(threshold: float):
     slack = (1 - threshold) / (1 + threshold)
 
-    def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
-        bounds = np.concatenate([[0], edge, [rows.shape[1]]])
-        found_a, found_b, size = [], [], 0
-        for k in np.flatnonzero(np.diff(bounds) > 1):
-            for a, b in _compare(rows[:, bounds[k] : bounds[k + 1]], slack, threshold):
-                found_a.append(a), found_b.append(b)
-                size += len(a)
-                if size > 500_000:
-                    yield batch_of(found_a, found_b)
-                    found_a, found_b, size = [], [], 0
-        if size:
-            yield batch_of(found_a, found_b)
-
-    def batch_of(found_a: list[np.ndarray], found_b: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
+        found, size = [], 0
+        for parts in _groups(batches, 2):
+            side = np.concatenate([p.column(2).to_numpy() for p in parts])
+            table = pa.Table.from_batches(parts)
+            sides = []
+            for k in (0, 1):
+                if len(own := np.flatnonzero(side == k)):
+                    low, high, node, part = (np.frombuffer(b"".join(table.column(i).take(pa.array(own)).to_pylist()), kind) for i, kind in ((3, _U), (4, _U), (5, np.int32), (6, np.int32)))
+                    sides.append((low, high, node, part ^ node))
+            crossed = table.column(1)[0].as_py() >> 24 != table.column(1)[0].as_py() & 0xFFFFFF
+            if crossed != (len(sides) == 2) or (not crossed and len(sides[0][0]) < 2):
                 continue
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            edge = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
-            if waiting and (waiting[-1][:2, -1] != rows[:2, 0]).any():
-                yield from pairs_of(np.concatenate(waiting, axis=1))
-                waiting = []
-            if len(edge):  # the last cell may go on in the next batch
-                yield from pairs_of(np.concatenate([*waiting, rows[:, : edge[-1] + 1]], axis=1))
-                waiting = [rows[:, edge[-1] + 1 :]]
-            else:
-                waiting.append(rows)
-        if waiting:
-            yield from pairs_of(np.concatenate(waiting, axis=1))
+            for pairs in _cell_pairs(sides, slack, threshold):
+                found.append(pairs)
+                size += pairs.shape[1]
+                if size > 500_000:
+                    yield batch_of(found)
+                    found, size = [], 0
+        if size:
+            yield batch_of(found)
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    one = sets.groupBy("node").agg(F.first("words").alias("words"))
+def _checked(pairs: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
     with_a = pairs.join(one.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
     with_b = with_a.join(one.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     return with_b.where(both >= threshold * (F.size("wa") + F.size("wb") - both) - 1e-9).select("a", "b")
 
 
-def _single_words(sets: DataFrame) -> DataFrame:
+def _single_words(one: DataFrame) -> DataFrame:
     """``(node, single)``: the words of a set that no other set has, counted exactly."""
-    each = sets.select("node", F.explode("words").alias("word"))
+    each = one.select("node", F.explode("words").alias("word"))
     seen = each.groupBy("word").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     return seen.groupBy("node").agg(F.collect_set("word").alias("single"))
 
 
-def missing_links(sets: DataFrame, classes: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """``(a, b)``: every link between sets of different ``classes`` (node, component)."""
-    shares = _document_shares(sets)
-    one = sets.groupBy("node").agg(F.first("words").alias("words")).join(classes, "node", "left")
-    entries = one.select("node", "words", F.coalesce("component", "node").alias("part")).mapInArrow(
-        _prefixes(shares, threshold, sets.count()), "word int, cell bigint, at bigint, low bigint, high bigint, node bigint, part bigint"
-    )
-    near = entries.repartition("word", "cell").sortWithinPartitions("word", "cell").mapInArrow(_cells(threshold), "a bigint, b bigint")
-    return _checked(near.distinct(), sets, threshold)
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """``(node, words)``, one row per word set, bucketed by node."""
+    return materialize_bucketed(sets.groupBy("node").agg(F.first("words").alias("words")), "node", "wordsets")
+
+
+def missing_links(one: DataFrame, classes: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``(a, b)``: links between sets of different ``classes`` (node, component), so that no two classes stay apart."""
+    shares, n_sets = _document_shares(one)
+    entries = one.join(classes, "node", "left").select("node", "words", F.coalesce("component", "node").alias("part")).mapInArrow(_prefixes(shares, threshold, n_sets), _CELLS)
+    near = entries.repartition("word", "cell").sortWithinPartitions("word", "cell").mapInArrow(_cells(threshold), "a int, b int").distinct()
+    name = one.select("node", F.shiftright("node", 32).cast("int").alias("short"))
+    pairs = near.join(name.select(F.col("short").alias("a"), F.col("node").alias("x")), "a").join(name.select(F.col("short").alias("b"), F.col("node").alias("y")), "b")
+    return _checked(materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "pairs"), one, threshold)
 
 
-def links(sets: DataFrame, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:
-    """``(a, b)``: checked links between different word sets, smaller node first."""
-    shares = _document_shares(sets)
+def links(one: DataFrame, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:
+    """``(a, b)``: checked links that the forest finds between different word sets, smaller node first."""
+    if not 1 <= trees <= 16:
+        raise ValueError("trees must be 1 to 16")
+    shares, n_sets = _document_shares(one)
     weights = 1.0 / (1.0 + shares / HALF_WEIGHT_SHARE)
-    marked = sets.join(_single_words(sets), "node", "left").select("node", "words", F.coalesce("single", F.array().cast("array<int>")).alias("single"))
-    signs = marked.mapInArrow(_signatures(weights, trees), "key bigint, low bigint, high bigint, node bigint")
-    ordered = signs.repartitionByRange("key", "low", "high", "node").sortWithinPartitions("key", "low", "high", "node")
+    none = F.array().cast("array<int>")
+    drawn = one.where(F.pmod(F.xxhash64("node"), F.lit(2**31)) < int(min(1.0, RANGE_SAMPLE / max(1, n_sets)) * 2**31) + 1).select("node", "words", none.alias("single")).toArrow().sort_by("node").combine_chunks().to_batches()
+    keys, low = np.zeros((trees, 0), _U), np.zeros(0, _U)
+    if drawn:
+        keys, low, _, _ = _entries(drawn[0], weights, trees)
+    ranges = _Ranges(keys, low, max(1, min(-(-n_sets // RANGE), keys.shape[1] // 16)))
+    marked = one.join(_single_words(one), "node", "left").select("node", "words", F.coalesce("single", none).alias("single"))
+    signs = marked.mapInArrow(_signatures(weights, trees, ranges), "range int, key bigint, low bigint, high bigint, node bigint")
+    ordered = signs.repartition("range").sortWithinPartitions("range", "key", "low", "high", "node")
     near = materialize(ordered.mapInArrow(_neighbours(threshold, window), "part int, a bigint, b bigint, c bigint, d bigint"), "pairs")
-    cut = near.where("part >= 0").repartition(1).mapInArrow(_across(threshold, window), "a bigint, b bigint")  # twice the window a partition
-    return _checked(near.where("part < 0").select("a", "b").union(cut).distinct(), sets, threshold)
+    cut = near.where("part >= 0").repartition(1).mapInArrow(_across(threshold, window), "a bigint, b bigint")  # a bounded number a range
+    return _checked(near.where("part < 0").select("a", "b").union(cut).distinct(), one, threshold)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:
@@ -413,9 +540,10 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold:
     trees miss between two classes are searched for exactly.
     """
     sets = materialize(word_sets(df, id_col, text_col), "wordsets")
-    edges = materialize(links(sets, threshold, trees, window), "links")
+    one = distinct_sets(sets)
+    edges = materialize(links(one, threshold, trees, window), "links")
     classes = connected_components(edges, "a", "b")
-    more = materialize(missing_links(sets, classes, threshold), "links")
+    more = materialize(missing_links(one, classes, threshold), "links")
     if more.take(1):
         edges = edges.union(more)
         classes = connected_components(edges, "a", "b")
