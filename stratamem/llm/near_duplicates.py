@@ -52,7 +52,7 @@ EVEN_OF_8 = 3
 REGION = 64
 #: Entries of a tree aimed at in one range, and sets that the ranges' bounds are drawn from
 #: (bounds decide which task sorts an entry, not what is found).
-RANGE, RANGE_SAMPLE = 40_000, 50_000
+RANGE, RANGE_SAMPLE = 40_000, 20_000
 #: Texts with one leading word beyond which they are compared block by block.
 BLOCK = 1 << 16
 #: Members from which a class is set against the others as a whole.
@@ -377,8 +377,11 @@ def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
             rank = np.argsort(np.argsort(shares, kind="stable"), kind="stable").astype(_U)[_bucket(words)]
             ordered = words[np.lexsort((rank << _U(32) | words, row))]
             first = lens - np.ceil(threshold * lens - 1e-9).astype(np.int64) + 1
-            lead = np.arange(len(words)) - starts[row] < first[row]
+            place = np.arange(len(words)) - starts[row]
+            lead = place < first[row]
             word, of = ordered[lead], row[lead]
+            # where the smaller of two alike sets has its first shared word
+            early = (place <= lens[row] - np.ceil(2 * threshold / (1 + threshold) * lens[row] - 1e-9))[lead]
             blocks = np.maximum(1, -(-np.round(shares[_bucket(word)] * n_sets).astype(np.int64) // BLOCK))
             at = (_mix(node[of].view(_U)) % blocks.astype(_U)).astype(np.int64)
             # a block meets itself and every other once: cell (i, j), i <= j, holds the blocks i and j
@@ -388,50 +391,78 @@ def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
                 span = np.searchsorted(np.cumsum(blocks), np.arange(k, min(k + 400_000, total)), "right")
                 here, there = at[span], other[k : k + 400_000]
                 cell, side = np.minimum(here, there) << 24 | np.maximum(here, there), (here > there).astype(np.int32)
-                w, x = word[span], of[span]
+                w, x, soon = word[span], of[span], early[span]
                 grouped = part[x] != node[x]
                 order = np.lexsort((grouped, side, cell, w))
                 w, cell, side, x = w[order], cell[order], side[order], x[order]
+                marked = high[x] & _U(2**48 - 1) | np.minimum(lens[x], 32767).astype(_U) << _U(48) | soon[order].astype(_U) << _U(63)
                 edge = np.flatnonzero((w[1:] != w[:-1]) | (cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1
                 bounds = np.concatenate([[0], edge, [len(w)]])
                 own, its = (node[x] >> 32).astype(np.int32), (part[x] >> 32).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[bounds[:-1]].view(np.int32)), pa.array(cell[bounds[:-1]]), pa.array(side[bounds[:-1]]), *(_blobs(v, bounds) for v in (low[x], high[x], own, own ^ its))],
+                    [pa.array(w[bounds[:-1]].view(np.int32)), pa.array(cell[bounds[:-1]]), pa.array(side[bounds[:-1]]), *(_blobs(v, bounds) for v in (low[x], marked, own, own ^ its))],
                     names=["word", "cell", "side", "low", "high", "node", "part"],
                 )
 
     return run
 
 
+#: Pairs whose first bitmaps are compared at once.
+AT_ONCE = 1 << 16
+
+
 def _compare(rows: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...] | None, slack: float, threshold: float) -> Iterator[np.ndarray]:
-    """Pairs of entries (of one list, or of two) in different classes that the bitmaps do not tell apart."""
+    """Pairs of entries (of one list, or of two) in different classes that the bitmaps do not tell apart.
+
+    Within one list the smaller set of a pair must have the word among its first few, which
+    its entry tells: that leaves fewer rows.
+    """
 
     def prepared(entries):
         low, high, node, part = entries
-        n = (high >> _U(48)).astype(np.int64)
+        n = (high >> _U(48) & _U(0x7FFF)).astype(np.int64)
         order = np.argsort(n, kind="stable")
-        loose = np.where(n >= 65535, 127, np.minimum(np.ceil(slack * n), 127)).astype(np.uint8)
-        return low[order], high[order] << _U(16), node[order], part[order], n[order], loose[order]
-
-    low, high, node, part, n, loose = prepared(rows)
-    low2, high2, node2, part2, n2, loose2 = (low, high, node, part, n, loose) if others is None else prepared(others)
-    begin = np.searchsorted(n2, np.ceil(threshold * n - 1e-9), "left") if others is not None else np.arange(len(n)) + 1
-    end = np.where(n / threshold >= 65535, len(n2), np.searchsorted(n2, np.floor(n / threshold + 1e-9), "right"))
-    step = max(1, 262_144 // max(1, len(n2)))
-    for i in range(0, len(n), step):
-        j = min(i + step, len(n))
-        a, b = int(begin[i:j].min()), int(end[i:j].max())
+        loose = np.where(n >= 32767, 127, np.minimum(np.ceil(slack * n), 127)).astype(np.uint8)
+        return low[order], high[order] << _U(16), node[order], part[order], n[order], loose[order], high[order] >> _U(63) == 1
+
+    low, high, node, part, n, loose, early = prepared(rows)
+    low2, high2, node2, part2, n2, loose2, _ = (low, high, node, part, n, loose, early) if others is None else prepared(others)
+    mine = np.flatnonzero(early) if others is None else np.arange(len(n))
+    if others is None:
+        begin = mine + 1
+        # equal sizes: either may count as the smaller one
+        begin = np.minimum(begin, np.searchsorted(n2, n[mine], "left"))
+    else:
+        begin = np.searchsorted(n2, np.ceil(threshold * n - 1e-9), "left")
+    end = np.where(n[mine] / threshold >= 32767, len(n2), np.searchsorted(n2, np.floor(n[mine] / threshold + 1e-9), "right"))
+    differ, count, most, near = (np.empty(AT_ONCE + 8 * len(n2), kind) for kind in (_U, np.uint8, np.uint8, bool))
+    step = max(1, AT_ONCE // max(1, len(n2)))
+    eight = np.arange(8)
+    for i in range(0, len(mine), step):
+        own = mine[i : i + step]
+        a, b = int(begin[i : i + step].min()), int(end[i : i + step].max())
         if a >= b:
             continue
-        apart = np.bitwise_count(low[i:j, None] ^ low2[a:b])
-        at = np.flatnonzero(apart <= loose[i:j, None] + loose2[a:b])
-        x, y = at // (b - a) + i, at % (b - a) + a
+        if len(n2) >= 8:  # whole eights of columns, so that hits are found eight at a time
+            wide = min(-(-(b - a) // 8) * 8, len(n2) // 8 * 8)
+            wide = wide if wide >= b - a else b - a
+            a = max(0, min(a, b - wide))
+            b = a + wide
+        shape, total = (len(own), b - a), len(own) * (b - a)
+        x = np.bitwise_xor(low[own, None], low2[a:b], out=differ[:total].reshape(shape))
+        c = np.bitwise_count(x, out=count[:total].reshape(shape))
+        limit = np.add(loose[own, None], loose2[a:b], out=most[:total].reshape(shape))
+        hit = np.less_equal(c, limit, out=near[:total].reshape(shape)).ravel()
+        if total % 8:
+            at = np.flatnonzero(hit)
+        else:
+            at = (np.flatnonzero(hit.view(_U))[:, None] * 8 + eight).ravel()
+            at = at[hit[at]]
+        x, y = own[at // (b - a)], at % (b - a) + a
         keep = part[x] != part2[y]
-        if others is None:
-            keep &= y > x
         x, y, at = x[keep], y[keep], at[keep]
-        full = apart.ravel()[at].astype(np.int64) + np.bitwise_count(high[x] ^ high2[y])
-        keep = (full <= slack * (n[x] + n2[y]) + 1e-9) | (n[x] >= 65535) | (n2[y] >= 65535)
+        full = count[at].astype(np.int64) + np.bitwise_count(high[x] ^ high2[y])
+        keep = (full <= slack * (n[x] + n2[y]) + 1e-9) | (n[x] >= 32767) | (n2[y] >= 32767)
         yield np.stack([node[x[keep]], node2[y[keep]]])
 
 
@@ -530,6 +561,16 @@ def links(one: DataFrame, threshold: float = 0.6, trees: int = 8, window: int =
     return _checked(near.where("part < 0").select("a", "b").union(cut).distinct(), one, threshold)
 
 
+def _joined_classes(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """``classes`` (node, component) after further links, which are few: only they are followed, between classes."""
+    of_a = classes.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = connected_components(between, "a", "b").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    nodes = classes.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("component", F.col("node")))
+    return nodes.join(merged, nodes["component"] == merged["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+
+
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, trees: int = 8, window: int = 32) -> DataFrame:
     """One row per text with a word: ``(rec_id, node, group_id, n_links)``.
 
@@ -546,7 +587,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold:
     more = materialize(missing_links(one, classes, threshold), "links")
     if more.take(1):
         edges = edges.union(more)
-        classes = connected_components(edges, "a", "b")
+        classes = _joined_classes(classes, more)
     classes = classes.withColumnRenamed("node", "of")
     degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("deg"))
     named = classes.join(degree.withColumnRenamed("node", "of"), "of", "left")
