@@ -411,73 +411,107 @@ def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
 AT_ONCE = 1 << 16
 
 
-def _compare(rows: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...] | None, slack: float, threshold: float) -> Iterator[np.ndarray]:
+class _Entries:
+    """Entries of one cell side by size: bitmaps, short names, sizes, and who may be the smaller of a pair."""
+
+    def __init__(self, low, high, node, part, n, loose, early):
+        self.low, self.high, self.node, self.part, self.n, self.loose, self.early = low, high, node, part, n, loose, early
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def __getitem__(self, at) -> "_Entries":
+        return _Entries(*(v[at] for v in (self.low, self.high, self.node, self.part, self.n, self.loose, self.early)))
+
+
+_room: dict[str, np.ndarray] = {}
+
+
+def _buffer(name: str, kind: type, shape: tuple[int, int]) -> np.ndarray:
+    size = shape[0] * shape[1]
+    if name not in _room or len(_room[name]) < size:
+        _room[name] = np.empty(max(size, 2 * AT_ONCE), kind)
+    return _room[name][:size].reshape(shape)
+
+
+def _compare(rows: _Entries, others: _Entries | None, slack: float, threshold: float) -> Iterator[np.ndarray]:
     """Pairs of entries (of one list, or of two) in different classes that the bitmaps do not tell apart.
 
     Within one list the smaller set of a pair must have the word among its first few, which
     its entry tells: that leaves fewer rows.
     """
-
-    def prepared(entries):
-        low, high, node, part = entries
-        n = (high >> _U(48) & _U(0x7FFF)).astype(np.int64)
-        order = np.argsort(n, kind="stable")
-        loose = np.where(n >= 32767, 127, np.minimum(np.ceil(slack * n), 127)).astype(np.uint8)
-        return low[order], high[order] << _U(16), node[order], part[order], n[order], loose[order], high[order] >> _U(63) == 1
-
-    low, high, node, part, n, loose, early = prepared(rows)
-    low2, high2, node2, part2, n2, loose2, _ = (low, high, node, part, n, loose, early) if others is None else prepared(others)
-    mine = np.flatnonzero(early) if others is None else np.arange(len(n))
-    if others is None:
-        begin = mine + 1
-        # equal sizes: either may count as the smaller one
-        begin = np.minimum(begin, np.searchsorted(n2, n[mine], "left"))
-    else:
-        begin = np.searchsorted(n2, np.ceil(threshold * n - 1e-9), "left")
-    end = np.where(n[mine] / threshold >= 32767, len(n2), np.searchsorted(n2, np.floor(n[mine] / threshold + 1e-9), "right"))
-    differ, count, most, near = (np.empty(AT_ONCE + 8 * len(n2), kind) for kind in (_U, np.uint8, np.uint8, bool))
-    step = max(1, AT_ONCE // max(1, len(n2)))
-    eight = np.arange(8)
+    to = rows if others is None else others
+    mine = np.flatnonzero(rows.early) if others is None else np.arange(len(rows))
+    n = rows.n[mine]
+    begin = np.searchsorted(to.n, n if others is None else np.ceil(threshold * n - 1e-9), "left")
+    end = np.where(n >= 32767 * threshold, len(to), np.searchsorted(to.n, np.floor(n / threshold + 1e-9), "right"))
+    step = max(1, min(AT_ONCE // max(1, len(to)), max(64, len(mine) // 6)))
     for i in range(0, len(mine), step):
         own = mine[i : i + step]
         a, b = int(begin[i : i + step].min()), int(end[i : i + step].max())
         if a >= b:
             continue
-        if len(n2) >= 8:  # whole eights of columns, so that hits are found eight at a time
-            wide = min(-(-(b - a) // 8) * 8, len(n2) // 8 * 8)
-            wide = wide if wide >= b - a else b - a
-            a = max(0, min(a, b - wide))
-            b = a + wide
-        shape, total = (len(own), b - a), len(own) * (b - a)
-        x = np.bitwise_xor(low[own, None], low2[a:b], out=differ[:total].reshape(shape))
-        c = np.bitwise_count(x, out=count[:total].reshape(shape))
-        limit = np.add(loose[own, None], loose2[a:b], out=most[:total].reshape(shape))
-        hit = np.less_equal(c, limit, out=near[:total].reshape(shape)).ravel()
-        if total % 8:
-            at = np.flatnonzero(hit)
+        wide = -(-(b - a) // 8) * 8  # whole eights of columns, so that hits are found eight at a time
+        a = max(0, min(a, len(to) - wide))
+        b = min(len(to), a + wide)
+        shape = (len(own), b - a)
+        differ = np.bitwise_xor(rows.low[own, None], to.low[a:b], out=_buffer("differ", _U, shape))
+        count = np.bitwise_count(differ, out=_buffer("count", np.uint8, shape))
+        most = np.add(rows.loose[own, None], to.loose[a:b], out=_buffer("most", np.uint8, shape))
+        near = np.less_equal(count, most, out=_buffer("near", bool, shape)).ravel()
+        if len(near) % 8:
+            at = np.flatnonzero(near)
         else:
-            at = (np.flatnonzero(hit.view(_U))[:, None] * 8 + eight).ravel()
-            at = at[hit[at]]
+            at = (np.flatnonzero(near.view(_U))[:, None] * 8 + np.arange(8)).ravel()
+            at = at[near[at]]
         x, y = own[at // (b - a)], at % (b - a) + a
-        keep = part[x] != part2[y]
-        x, y, at = x[keep], y[keep], at[keep]
-        full = count[at].astype(np.int64) + np.bitwise_count(high[x] ^ high2[y])
-        keep = (full <= slack * (n[x] + n2[y]) + 1e-9) | (n[x] >= 32767) | (n2[y] >= 32767)
-        yield np.stack([node[x[keep]], node2[y[keep]]])
+        full = count.ravel()[at].astype(np.int64) + np.bitwise_count((rows.high[x] ^ to.high[y]) << _U(16))
+        keep = (full <= slack * (rows.n[x] + to.n[y]) + 1e-9) | (rows.n[x] >= 32767) | (to.n[y] >= 32767)
+        x, y = x[keep], y[keep]
+        keep = rows.part[x] != to.part[y]
+        if keep.any():
+            yield np.stack([rows.node[x[keep]], to.node[y[keep]]])
 
 
-def _cell_pairs(sides: list[tuple[np.ndarray, ...]], slack: float, threshold: float) -> Iterator[np.ndarray]:
+def _cell_pairs(first: _Entries, second: _Entries | None, slack: float, threshold: float) -> Iterator[np.ndarray]:
     """Pairs of one cell: within its only block, or between its two. Large classes meet the others as a whole, never themselves."""
-    if len(sides) == 2:
-        yield from _compare(sides[0], sides[1], slack, threshold)
+    if second is not None:
+        yield from _compare(first, second, slack, threshold)
         return
-    rest = sides[0]
-    names, counts = np.unique(rest[3], return_counts=True)
-    for name in names[counts >= LARGE_CLASS]:
-        mine = rest[3] == name
-        own, rest = tuple(v[mine] for v in rest), tuple(v[~mine] for v in rest)
-        yield from _compare(own, rest, slack, threshold)
-    yield from _compare(rest, None, slack, threshold)
+    if (first.part != first.node).sum() >= LARGE_CLASS:
+        names, counts = np.unique(first.part, return_counts=True)
+        for name in names[counts >= LARGE_CLASS]:
+            mine = first.part == name
+            own, first = first[mine], first[~mine]
+            yield from _compare(own, first, slack, threshold)
+    yield from _compare(first, None, slack, threshold)
+
+
+def _unpacked(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].tobytes() if data is not None else b""
+    return np.frombuffer(values, kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Sorted input in parts that cut no (word, cell) in two."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = int(np.argmax((word == word[-1]) & (cell == cell[-1])))
+        if waiting and (waiting[-1].column(0)[-1].as_py(), waiting[-1].column(1)[-1].as_py()) != (int(word[0]), int(cell[0])):
+            yield waiting
+            waiting = []
+        if cut:
+            yield [*waiting, batch.slice(0, cut)]
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield waiting
 
 
 def _cells(threshold: float):
@@ -489,20 +523,29 @@ def _cells(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for parts in _groups(batches, 2):
-            side = np.concatenate([p.column(2).to_numpy() for p in parts])
-            table = pa.Table.from_batches(parts)
-            sides = []
-            for k in (0, 1):
-                if len(own := np.flatnonzero(side == k)):
-                    low, high, node, part = (np.frombuffer(b"".join(table.column(i).take(pa.array(own)).to_pylist()), kind) for i, kind in ((3, _U), (4, _U), (5, np.int32), (6, np.int32)))
-                    sides.append((low, high, node, part ^ node))
-            crossed = table.column(1)[0].as_py() >> 24 != table.column(1)[0].as_py() & 0xFFFFFF
-            if crossed != (len(sides) == 2) or (not crossed and len(sides[0][0]) < 2):
-                continue
-            for pairs in _cell_pairs(sides, slack, threshold):
-                found.append(pairs)
-                size += pairs.shape[1]
+        for parts in _whole_cells(batches):
+            word, cell, side = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(3))
+            (low, each), (high, _), (node, _), (part, _) = (
+                tuple(np.concatenate(v) for v in zip(*(_unpacked(p.column(i), kind) for p in parts))) for i, kind in ((3, _U), (4, _U), (5, np.int32), (6, np.int32))
+            )
+            new = np.concatenate([[True], (word[1:] != word[:-1]) | (cell[1:] != cell[:-1])])
+            own, side = np.repeat(np.cumsum(new) - 1, each), np.repeat(side, each)
+            n = (high >> _U(48) & _U(0x7FFF)).astype(np.int64)
+            order = np.lexsort((n, side, own))
+            own, side, n = own[order], side[order], n[order]
+            loose = np.where(n >= 32767, 127, np.minimum(np.ceil(slack * n), 127)).astype(np.uint8)
+            all_ = _Entries(low[order], high[order], node[order], (part ^ node)[order], n, loose, high[order] >> _U(63) == 1)
+            start = np.searchsorted(own, np.arange(new.sum() + 1))
+            middle = np.searchsorted(own * 2 + side, np.arange(new.sum()) * 2 + 1)
+            for k, c in enumerate(cell[new].tolist()):
+                s, m, e = int(start[k]), int(middle[k]), int(start[k + 1])
+                if c >> 24 == c & 0xFFFFFF:
+                    pairs_of = _cell_pairs(all_[s:e], None, slack, threshold) if e - s > 1 else ()
+                else:
+                    pairs_of = _cell_pairs(all_[s:m], all_[m:e], slack, threshold) if s < m < e else ()
+                for pairs in pairs_of:
+                    found.append(pairs)
+                    size += pairs.shape[1]
                 if size > 500_000:
                     yield batch_of(found)
                     found, size = [], 0
