@@ -100,3 +100,23 @@ def container_tags(tag: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.floor((n - 3) / 2).cast("int")), lambda i: F.array_join(F.slice(lead, i * 2 + 1, F.lit(2)), ":"))
     none = F.array().cast("array<string>")
     return F.when(n == 1, none).when(F.element_at(p, -2) == "user", F.when(n > 2, pairs).otherwise(none)).otherwise(F.slice(p, F.lit(1), F.greatest(n - 1, F.lit(0))))
+
+
+#: The shape of an RFC 3339 time.
+RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def rfc3339(c: Column, field: str) -> Column:
+    """The instant of an RFC 3339 text; null stays null, anything else is an error that names the field."""
+    at = F.when(c.rlike(RFC3339), F.try_to_timestamp(F.upper(c)))
+    return F.when(c.isNull() | at.isNotNull(), at).otherwise(F.raise_error(F.lit(f"{field} is not a valid RFC 3339 time")))
+
+
+def event_date(dates: Column) -> Column:
+    """The first of several event dates, which is the one that counts."""
+    return rfc3339(F.when(F.size(dates) > 0, F.element_at(dates, 1)), "event date")
+
+
+def interval_end(start: Column, end: Column) -> Column:
+    """The end of a period, or none where it does not lie after the start."""
+    return F.when(end > start, end)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Window and overlap of stored chunks, in code points.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
+_GAP = re.compile(r"\s")
 
 
 def tokens(c: Column) -> Column:
@@ -46,28 +49,27 @@ def windows(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) ->
     """Overlapping windows that end at white space where there is some.
 
     A window of ``size`` code points that ends inside the text is cut back to its last white
-    space, unless that would leave nothing; the next one starts ``overlap`` (at most half of
-    ``size``) before its end, and always further on than the one before. Pieces are trimmed;
-    empty ones and repeats of the one before are dropped.
+    space, unless that is its first character. The next one starts ``overlap`` (at most half
+    of ``size``) before its end, or at its end where that would not be further on. Pieces are
+    trimmed; empty ones and repeats of the one before are dropped.
     """
     size = max(1, size)
     back = min(overlap, size // 2)
+    gaps = [m.start() for m in _GAP.finditer(text)]
     out: list[str] = []
-    start, n = 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            cut = end
-            while cut > start and not text[cut - 1].isspace():
-                cut -= 1
-            if cut - 1 > start:
-                end = cut - 1
-        piece = text[start:end].strip()
-        if piece and (not out or out[-1] != piece):
+    begin = 0
+    while begin < len(text):
+        stop = begin + size
+        if stop < len(text):
+            last = bisect_left(gaps, stop) - 1
+            if last >= 0 and gaps[last] > begin:
+                stop = gaps[last]
+        piece = text[begin:stop].strip()
+        if piece and out[-1:] != [piece]:
             out.append(piece)
-        if end >= n:
+        if stop >= len(text):
             break
-        start = max(end - back, start + 1)
+        begin = stop - back if stop - back > begin else stop
     return out
 
 
@@ -95,11 +97,21 @@ def token_estimate(c: Column) -> Column:
     return F.floor(F.length(c) / 4)
 
 
-def preview(c: Column, width: int = 80) -> Column:
-    """First line, cut to ``width`` characters, with how many characters are left out."""
-    line = F.substring_index(c, "\n", 1)
-    more = F.length(c) - F.least(F.length(line), F.lit(width))
-    return F.concat(F.left(line, F.lit(width)), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+def preview(snippets: Column, width: int = 80) -> Column:
+    """First line of the first of several snippets, cut to ``width`` characters, and how many others there are; ``(none)`` without any."""
+    line = F.left(F.split(F.element_at(snippets, 1), "\r?\n").getItem(0), F.lit(width))
+    more = F.size(snippets) - 1
+    return F.when(F.coalesce(F.size(snippets), F.lit(0)) < 1, "(none)").otherwise(F.concat(F.coalesce(line, F.lit("")), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise("")))
+
+
+#: Words that carry no meaning in a search.
+STOP_WORDS = tuple("a an and are as at be by for from has in is it its of on or that the this to was were will with".split())
+
+
+def stems(c: Column) -> Column:
+    """Analysed tokens: no stop words, plural and third-person endings removed (ies to y, then es after a hiss, then s)."""
+    kept = F.filter(tokens(c), lambda t: ~t.isin(*STOP_WORDS))
+    return F.transform(kept, lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(..)ies$", "$1y"), "(..(?:s|x|z|ch|sh))es$", "$1"), "([a-z][^su])s$", "$1"))
 
 
 def profile_text(attribute: str = "attribute", value: str = "value", content: str = "content") -> Column:

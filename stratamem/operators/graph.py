@@ -29,6 +29,26 @@ def endpoints(edges: DataFrame, memory: DataFrame) -> DataFrame:
     return out.unionAll(into).join(other, "other_id").select("id", "other_id", "relation", "outgoing", "content")
 
 
+def recognised(memory: DataFrame, recogniser: Callable[[str], list[str]]) -> DataFrame:
+    """As :func:`mentions`, by a callable that lists the surfaces of a text; blank ones are dropped, an error gives none."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for t, a, i, c in zip(pdf["tenant_id"], pdf["actor_id"], pdf["id"], pdf["content"]):
+                try:
+                    found = {s.strip().lower() for s in recogniser(c)}
+                except Exception:  # the recogniser is a foreign service; mentions are best effort
+                    found = set()
+                out += [(t, a, i, s) for s in sorted(found) if s]
+            yield pd.DataFrame(out, columns=["tenant_id", "actor_id", "id", "surface"])
+
+    rows = memory.where("content is not null").select("tenant_id", "actor_id", "id", "content")
+    return rows.mapInPandas(run, rows.drop("content").withColumn("surface", F.lit("")).schema)
+
+
 def mentions(memory: DataFrame, least: int = 4, stop: Sequence[str] = ()) -> DataFrame:
     """``(tenant_id, actor_id, id, surface)``: the distinct tokens of each content that name something.
 
@@ -40,9 +60,9 @@ def mentions(memory: DataFrame, least: int = 4, stop: Sequence[str] = ()) -> Dat
 
 
 def related(seeds: DataFrame, said: DataFrame, limit: int = 10) -> DataFrame:
-    """``(id, other_id, shared)``: for each seed ``id`` the rows of its tenant that share most surfaces with it."""
-    mine = said.join(seeds.select("id").distinct(), "id", "left_semi").select("tenant_id", F.col("id").alias("seed"), "surface")
-    pairs = said.select("tenant_id", "id", "surface").join(mine, ["tenant_id", "surface"]).where("id <> seed")
+    """``(id, other_id, shared)``: for each seed ``id`` the rows of its tenant and actor that share most surfaces with it."""
+    mine = said.join(seeds.select("id").distinct(), "id", "left_semi").select("tenant_id", "actor_id", F.col("id").alias("seed"), "surface")
+    pairs = said.select("tenant_id", "actor_id", "id", "surface").join(mine, ["tenant_id", "actor_id", "surface"]).where("id <> seed")
     counts = pairs.groupBy("seed", "id").agg(F.count("*").alias("shared"))
     order = Window.partitionBy("seed").orderBy(F.desc("shared"), "id")
     return counts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).select(F.col("seed").alias("id"), F.col("id").alias("other_id"), "shared")
@@ -79,7 +99,7 @@ def aggregate_context(hits: DataFrame, memory: DataFrame, edges: DataFrame, said
     near = edges.join(ends, (F.col("from_id") == F.col("_hit")) | (F.col("to_id") == F.col("_hit")), "left_semi")
     tied = endpoints(near, memory).join(wanted, "id", "left_semi")
     narrow = said.join(F.broadcast(own.select(*who).distinct()), who, "left_semi")
-    alike = related(wanted, narrow.select(F.concat_ws("\x01", *who).alias("tenant_id"), "id", "surface"), limit)
+    alike = related(wanted, narrow, limit)
     none = F.lit(None).cast("bigint")
     lanes = chain.select("id", F.when(F.col("is_parent"), "parent").otherwise("child").alias("lane"), F.lit("version").alias("via"), "other_id", F.col("version").cast("bigint").alias("value"))
     lanes = lanes.unionAll(tied.select("id", F.when(F.col("outgoing"), "parent").otherwise("child"), "relation", "other_id", none))

@@ -101,6 +101,14 @@ def forget_by_content(memory: DataFrame, asked: DataFrame, now: Column) -> DataF
     return _forgotten(joined.withColumn("_hit", F.coalesce(hit, F.lit(False))), F.col("_hit"), now).select(*memory.columns)
 
 
+def edges_left(edges: DataFrame, memory: DataFrame) -> DataFrame:
+    """The edges of which neither end is forgotten: forgetting leaves no dangling edge."""
+    gone = memory.where("status = 'forgotten'").select("tenant_id", F.col("id").alias("_gone"))
+    for end in ("from_id", "to_id"):
+        edges = edges.join(gone, (edges["tenant_id"] == gone["tenant_id"]) & (edges[end] == gone["_gone"]), "left_anti")
+    return edges
+
+
 def without_actor(tables: dict[str, DataFrame], tenant: str, actor: str, memory: str = "memory", edges: str | None = None) -> dict[str, DataFrame]:
     """Every table without one actor's rows; edges that touch their memories go too."""
     mine = (F.col("tenant_id") == tenant) & (F.col("actor_id") == actor)
@@ -120,7 +128,7 @@ def profiles(memory: DataFrame, now: Column) -> DataFrame:
     """``(tenant_id, actor_id, static_facts, dynamic_ctx)``: up to 50 static and 20 dynamic lines of every actor.
 
     Static: lasting rows that are marked static or reach the confidence bar, surest first.
-    Dynamic: the rest that has not expired, newest first. Lines without text go after the cut.
+    Dynamic: all that has not expired, newest first, static rows included. Lines without text go after the cut.
     Actors without a line of either part have no row.
     """
     rows = memory.where(scope.live(now)).withColumn("txt", profile_text())
@@ -128,7 +136,7 @@ def profiles(memory: DataFrame, now: Column) -> DataFrame:
     who = ["tenant_id", "actor_id"]
     order = {
         "static_facts": (static, [F.desc("confidence"), F.desc("recorded_at"), F.desc("id")], STATIC_LINES),
-        "dynamic_ctx": (~static, [F.desc("recorded_at"), F.desc("id")], DYNAMIC_LINES),
+        "dynamic_ctx": (F.lit(True), [F.desc("recorded_at"), F.desc("id")], DYNAMIC_LINES),
     }
     out = None
     for name, (cond, by, n) in order.items():

@@ -65,15 +65,18 @@ def recall(
     as_of: Column | None = None,
     include_forgotten: bool = False,
     rewriter: Callable[[str], str] | None = None,
+    threshold: float | None = None,
 ) -> DataFrame:
     """The best rows of a tenant's ``memory`` with their ``score``, best first.
 
     ``as_of`` only moves the instant that recency is measured from. ``rewriter`` replaces the
-    text that is searched for; a blank rewrite leaves it. Needs a vector, a text or both; a
+    text that is searched for; a blank rewrite leaves it. ``threshold`` keeps what scores that
+    share of the best one, out of four times as many rows. Needs a vector, a text or both; a
     row in one leg only keeps that leg's term. Rows without content or embedding can still be
     found by the other leg.
     """
-    n = scope.clamp_limit(limit)
+    asked = scope.clamp_limit(limit)
+    n = asked if threshold is None else over_fetch(asked)
     fan = max(FAN_OUT, n)
     gate = scope.live_or_forgotten(now) if include_forgotten else scope.live(now)
     rows = memory.where(gate & scope.has_all_tags(tags))
@@ -92,7 +95,9 @@ def recall(
         raise ValueError("recall needs a query vector or a query text")
     fused = fuse(*legs)  # at most twice the fan-out
     weighted = rows.join(F.broadcast(fused), "id").withColumn("score", F.round(F.col("rrf") * recency(as_of if as_of is not None else now) * confidence_weight(), 9))
-    return weighted.drop("rrf").orderBy(F.desc("score"), F.desc_nulls_last("recorded_at"), "id").limit(n)
+    best = [F.desc("score"), F.desc_nulls_last("recorded_at"), F.col("id")]
+    hits = weighted.drop("rrf").orderBy(*best).limit(n)
+    return hits if threshold is None else relative_threshold(hits, threshold).orderBy(*best).limit(asked)
 
 
 def profile_with_query(memory: DataFrame, tenant: str, actor: str, now: Column, query_text: str | None = None, query_vector: Column | None = None, **bounds) -> tuple[DataFrame, DataFrame | None]:
@@ -107,7 +112,7 @@ def profile_with_query(memory: DataFrame, tenant: str, actor: str, now: Column,
 
 def search_chunks(chunks: DataFrame, query_text: str | None = None, query_vector: Column | None = None, limit: int | None = None, tags: Sequence[str] = (), documents: DataFrame | None = None) -> DataFrame:
     """The best chunks with their fused ``score``; a document filter is a semi-join before the legs."""
-    n = max(1, limit or 10)
+    n = scope.clamp_limit(limit, most=200)
     fan = max(FAN_OUT, n)
     rows = chunks.where(scope.has_all_tags(tags)) if tags else chunks
     if documents is not None:
@@ -156,6 +161,31 @@ def concat_modes(memories: DataFrame, documents: DataFrame) -> DataFrame:
     return parts[0].unionAll(parts[1]).orderBy("src_ord", "pos")
 
 
+def search(mode: str, memories: Callable[[], DataFrame], documents: Callable[[], DataFrame]) -> DataFrame:
+    """The hits of a mode: ``memories``, ``documents``, or ``hybrid`` (both, memories first)."""
+    if mode not in ("memories", "documents", "hybrid"):
+        raise ValueError(f"no search mode {mode!r}")
+    if mode == "hybrid":
+        return concat_modes(memories(), documents())
+    hits = memories() if mode == "memories" else documents()
+    return concat_modes(hits, hits.limit(0))
+
+
+def bm25_leg(rows: DataFrame, query: str, limit: int, content: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``(id, bm25, rnk)`` of the rows that hold any analysed query token, by Okapi BM25 over ``rows``."""
+    asked = sorted(set(query.lower().split()))
+    stems_of = rows.sparkSession.createDataFrame([(" ".join(asked),)], "q string").select(F.array_distinct(text.stems(F.col("q"))).alias("asked"))
+    docs = rows.where(F.col(content).isNotNull()).select("id", text.stems(F.col(content)).alias("toks"))
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean"))
+    hits = docs.join(F.broadcast(stems_of)).where(F.arrays_overlap("toks", "asked"))
+    each = hits.select("id", F.size("toks").alias("len"), F.explode("asked").alias("term"), "toks").select("id", "len", "term", F.size(F.filter("toks", lambda t: t == F.col("term"))).alias("tf")).where("tf > 0")
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    scored = each.join(F.broadcast(df), "term").join(F.broadcast(size))  # as many rows as the query has terms, and one
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return _ranked(scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("bm25")), [F.desc("bm25"), F.col("id")], limit)
+
+
 def rerank(hits: DataFrame, query: str, reranker: Callable[[str, list[str]], list[tuple[int, float]]], limit: int, pool: int = 50) -> DataFrame:
     """The first ``pool`` hits in the order a callable gives.
 

@@ -8,7 +8,8 @@ facts in order of arrival for everything else. Both are deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -66,64 +67,113 @@ def resolve_multi_valued(facts: DataFrame, key: Sequence[str], at: str, value: s
 STATE = "fact_id bigint, value string, valid_from bigint, valid_to bigint, confidence double, is_latest boolean, status string, supersedes_id bigint, overlaps boolean"
 
 
-def fold(facts: Sequence[tuple[int, int, str | None, bool]]) -> list[dict]:
-    """The rows of one key after its facts ``(fact_id, from, value, single_valued)`` in order of arrival.
+FIELDS = [c.split(" ")[0] for c in STATE.split(", ")]
 
-    A newer value closes the current one at its start (whatever end that had). A value that
-    takes effect before the current one becomes active history up to the next start. One that
-    takes effect exactly when the current one does contradicts it: status ``conflict``, nothing
-    else changes. A late value inside a closed stretch is kept and flagged ``overlaps``.
+
+def fold(facts: Iterable[tuple[int, int, int | None, str | None, bool]], known: Sequence[dict] = ()) -> list[dict]:
+    """The rows of one key after its facts ``(fact_id, from, to, value, single_valued)`` in order of arrival.
+
+    ``known`` are the rows there already are; they are not changed in place. An end that is
+    not after the start is none. A newer value closes the current one at its start (whatever
+    end that had). A value that takes effect before the current one becomes active history up
+    to the next start or its own end, whichever comes first. One that takes effect exactly
+    when the current one does contradicts it: status ``conflict``, nothing else changes. A
+    late value inside a closed stretch is kept and flagged ``overlaps``.
     """
-    rows: list[dict] = []
-    for fact_id, start, value, single in facts:
-        live = [r for r in rows if r["is_latest"] and r["status"] == "active"]
+    rows = [dict(r) for r in known]
+    live = [r for r in rows if r["is_latest"] and r["status"] == "active"]
+    starts = sorted(r["valid_from"] for r in rows if r["status"] != "conflict")
+    for fact_id, start, end, value, single in facts:
+        end = end if end is not None and end > start else None
         what, ids = decide(value, single, [(r["fact_id"], r["value"]) for r in live])
-        new = dict(fact_id=fact_id, value=value, valid_from=start, valid_to=None, confidence=CONFIDENCE, is_latest=True, status="active", supersedes_id=None, overlaps=False)
+        new = dict(fact_id=fact_id, value=value, valid_from=start, valid_to=end, confidence=CONFIDENCE, is_latest=True, status="active", supersedes_id=None, overlaps=False)
         if what == "dedup":
             hit = next(r for r in live if r["fact_id"] == ids[0])
             hit["confidence"] = round(min(1.0, hit["confidence"] + BUMP), 6)
             continue
         if what == "supersede":
-            prior = [r for r in live if r["fact_id"] in ids]
+            wanted = set(ids)
+            prior = [r for r in live if r["fact_id"] in wanted]
             newest = max(prior, key=lambda r: (r["valid_from"], r["fact_id"]))
             if start > newest["valid_from"]:
                 for r in prior:
                     r |= dict(valid_to=start, status="superseded", is_latest=False)
+                live = [r for r in live if r["fact_id"] not in wanted]
                 new["supersedes_id"] = newest["fact_id"]
             elif start == newest["valid_from"]:
                 new |= dict(status="conflict", is_latest=False)
             else:
-                later = [r["valid_from"] for r in rows if r["status"] != "conflict" and r["valid_from"] > start]
+                following = starts[bisect_right(starts, start)]  # the current one's start at the latest
                 inside = [r for r in rows if r["status"] != "conflict" and r["valid_from"] <= start and r["valid_to"] is not None and start < r["valid_to"]]
-                active = any(r["status"] == "active" for r in inside)
-                new |= dict(is_latest=False, valid_to=min(later), overlaps=bool(inside))
-                if active:
+                new |= dict(is_latest=False, valid_to=following if end is None else min(end, following), overlaps=bool(inside))
+                if any(r["status"] == "active" for r in inside):
                     new["status"] = "conflict"
         rows.append(new)
+        if new["is_latest"]:
+            live.append(new)
+        if new["status"] != "conflict":
+            insort(starts, start)
     return rows
 
 
-def resolve_by_fold(facts: DataFrame, key: Sequence[str], arrival: str, at_us: str, value: str, fact_id: str, single_valued: str) -> DataFrame:
+def as_facts(pdf: pd.DataFrame) -> list[tuple[int, int, int | None, str | None, bool]]:
+    """The rows of :func:`fold_columns` as facts in order of arrival."""
+    pdf = pdf.sort_values(["_arrival", "_id"])
+    ends = [None if pd.isna(e) else int(e) for e in pdf["_end"]]
+    return [(int(i), int(t), e, None if pd.isna(v) else v, bool(s)) for i, t, e, v, s in zip(pdf["_id"], pdf["_at"], ends, pdf["_value"], pdf["_single"])]
+
+
+def as_frame(rows: list[dict], names: list[str], key: Sequence) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=FIELDS)
+    for c in ("valid_to", "supersedes_id"):
+        out[c] = out[c].astype("Int64")
+    for c, v in reversed(list(zip(names, key))):
+        out.insert(0, c, v)
+    return out
+
+
+def fold_columns(facts: DataFrame, names: list[str], arrival: str, at_us: str, value: str, fact_id: str, single_valued: str, end_us: str | None) -> DataFrame:
+    """The columns that a fold reads, under names of their own; facts without a start are left out."""
+    end = F.col(end_us) if end_us else F.lit(None).cast("bigint")
+    return facts.where(F.col(at_us).isNotNull()).select(
+        *names, F.col(arrival).alias("_arrival"), F.col(at_us).alias("_at"), end.alias("_end"), F.col(value).alias("_value"), F.col(fact_id).alias("_id"), F.col(single_valued).alias("_single")
+    )
+
+
+def key_schema(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+
+
+def resolve_by_fold(facts: DataFrame, key: Sequence[str], arrival: str, at_us: str, value: str, fact_id: str, single_valued: str, end_us: str | None = None) -> DataFrame:
     """:func:`fold` over every key, in order of ``arrival`` and id.
 
     One key's facts go to one task, as each decision depends on the one before; use
     :func:`resolve_in_order` where arrival follows effect, which has no such bound.
     """
     names = list(key)
-    rows = facts.where(F.col(at_us).isNotNull()).select(*names, F.col(arrival).alias("_arrival"), F.col(at_us).alias("_at"), F.col(value).alias("_value"), F.col(fact_id).alias("_id"), F.col(single_valued).alias("_single"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_arrival", "_id"])
-        facts = [(int(i), int(t), None if pd.isna(v) else v, bool(s)) for i, t, v, s in zip(pdf["_id"], pdf["_at"], pdf["_value"], pdf["_single"])]
-        out = pd.DataFrame(fold(facts), columns=[c.split(" ")[0] for c in STATE.split(", ")])
-        for c in ("valid_to", "supersedes_id"):
-            out[c] = out[c].astype("Int64")
-        for c in reversed(names):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    return rows.groupBy(*names).applyInPandas(run, f"{head}, {STATE}")
+    rows = fold_columns(facts, names, arrival, at_us, value, fact_id, single_valued, end_us)
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return as_frame(fold(as_facts(pdf)), names, k)
+
+    return rows.groupBy(*names).applyInPandas(run, f"{key_schema(rows, names)}, {STATE}")
+
+
+def resolve_against(known: DataFrame, facts: DataFrame, key: Sequence[str], arrival: str, at_us: str, value: str, fact_id: str, single_valued: str, end_us: str | None = None) -> DataFrame:
+    """``key + row columns`` of every key that ``facts`` touch, after they were folded into the ``known`` rows.
+
+    ``known`` has the key and the row columns. Only the touched keys' rows are read into the
+    fold. Rows that nothing changed come out as they were.
+    """
+    names = list(key)
+    new = fold_columns(facts, names, arrival, at_us, value, fact_id, single_valued, end_us)
+    touched = known.select(*names, *FIELDS).join(new.select(*names).distinct(), names, "left_semi")
+
+    def run(k: tuple, old: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [{c: None if c in ("value", "valid_to", "supersedes_id") and pd.isna(v) else v for c, v in zip(FIELDS, r)} for r in old[FIELDS].sort_values(["valid_from", "fact_id"]).itertuples(index=False)]
+        return as_frame(fold(as_facts(pdf), rows), names, k)
+
+    return touched.groupBy(*names).cogroup(new.groupBy(*names)).applyInPandas(run, f"{key_schema(new, names)}, {STATE}")
 
 
 def overlapping(segments: DataFrame, key: Sequence[str], start: str = "valid_from", end: str = "valid_to") -> DataFrame:

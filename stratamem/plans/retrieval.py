@@ -176,9 +176,9 @@ def recall_actor(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d, actor=ACTOR, limit=20)
 
 
-@query(_recall_sql(_MINE, as_of="timestamptz '2023-06-01 00:00:00+00'", then="where (select max(score) from hits) <= 0 or score / (select max(score) from hits) >= 0.7"))
+@query(_recall_sql(_MINE, as_of="timestamptz '2023-06-01 00:00:00+00'", limit=40, then="where (select max(score) from hits) <= 0 or score / (select max(score) from hits) >= 0.7 order by score desc, recorded_at desc nulls last, id limit 10"))
 def recall_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return R.relative_threshold(_recall(spark, d, as_of=F.lit("2023-06-01 00:00:00").cast("timestamp")), 0.7)
+    return _recall(spark, d, as_of=F.lit("2023-06-01 00:00:00").cast("timestamp"), threshold=0.7)
 
 
 @query()
@@ -265,7 +265,21 @@ def hybrid_mode_concat_fused(spark: SparkSession, d: str) -> DataFrame:
     return R.concat_modes(_recall(spark, d), R.search_chunks(_embedded_chunks(spark, d), QUERY_TEXT, _embedded_query(), limit=10))
 
 
-@query()
+_GAP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def chunk_sql(rows: str, columns: str) -> str:
+    """Windows of 1,000 with an overlap of 100, one step after the other."""
+    stop = f"case when b + 1000 >= n or length(regexp_extract(substr(t, b + 1, 1000), '(?s)^(.*){_GAP}', 1)) = 0 then b + 1000 else b + length(regexp_extract(substr(t, b + 1, 1000), '(?s)^(.*){_GAP}', 1)) end"
+    return f"""with recursive docs as (select ingest_id as document_id, *, content as t, length(content) as n from {rows} where content is not null and length(content) > 0),
+walk as (select document_id, b, {stop} as e from (select document_id, t, n, 0::bigint as b from docs)
+  union all select document_id, b, {stop} from (select w.document_id, d.t, d.n, case when w.e - 100 > w.b then w.e - 100 else w.e end as b from walk w join docs d using (document_id) where w.e < d.n)),
+pieces as (select document_id, b, regexp_replace(substr(t, b + 1, e - b), '^{_GAP}+|{_GAP}+$', '', 'g') as chunk from walk join docs using (document_id)),
+marked as (select *, lag(chunk) over (partition by document_id order by b) as prev from pieces where chunk <> '')
+select {columns}, (row_number() over (partition by document_id order by b) - 1)::int as ord, chunk from marked where prev is null or prev <> chunk"""
+
+
+@query(chunk_sql("ingest_requests", "document_id"))
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return text.chunked(documents(spark, d).select("document_id", "content"))
 
@@ -296,12 +310,52 @@ def conversation_text(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("conversation", F.md5("conversation"))
 
 
-@query("select turn_id, length(content) // 4 as tokens, left(string_split(content, chr(10))[1], 80) || case when length(content) > least(length(string_split(content, chr(10))[1]), 80) then ' (+' || (length(content) - least(length(string_split(content, chr(10))[1]), 80)) || ' more)' else '' end as preview from turns")
+@query(
+    "select case_id, session_no, sum(length(content) // 4)::bigint as tokens, left(rtrim(string_split(list(content order by turn_no, turn_id)[1], chr(10))[1], chr(13)), 80) "
+    "|| case when count(*) > 1 then ' (+' || (count(*) - 1) || ' more)' else '' end as preview from turns where content is not null group by all"
+)
 def text_previews(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "turns").select("turn_id", text.token_estimate(F.col("content")).alias("tokens"), text.preview(F.col("content")).alias("preview"))
+    """Each session's turns as recalled snippets, and their estimated tokens."""
+    rows = read_table(spark, d, "turns").where("content is not null")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn_no", "turn_id", "content"))), lambda x: x["content"])
+    return rows.groupBy("case_id", "session_no").agg(F.sum(text.token_estimate(F.col("content"))).alias("tokens"), text.preview(said).alias("preview"))
 
 
-@query("select tag from (select container_tag as tag from add_requests union select container_tag from ingest_requests) where tag <> '' order by tag")
+@query(
+    f"with {MEM} select tag from (select unnest(container_tags) as tag from mem where tenant_id = '{TENANT}' and is_latest and status = 'active' "
+    f"union select r.container_tag from doc_chunks c join ingest_requests r on r.ingest_id = c.ingest_id where r.tenant_id = '{TENANT}') where tag <> '' order by tag"
+)
 def container_tags_list(spark: SparkSession, d: str) -> DataFrame:
-    tags = read_table(spark, d, "add_requests").select(F.col("container_tag").alias("tag")).union(read_table(spark, d, "ingest_requests").select("container_tag"))
-    return tags.where("tag <> ''").distinct().orderBy("tag")
+    """Tags of the tenant's current memories and of its chunks."""
+    kept = scope.tenant_scan(memory(spark, d), TENANT).where(scope.current()).select(F.explode("container_tags").alias("tag"))
+    docs = scope.tenant_scan(documents(spark, d), TENANT).select("document_id", F.col("container_tag").alias("tag"))
+    cut = docs.join(chunks(spark, d).select("document_id").distinct(), "document_id", "left_semi").select("tag")
+    return kept.union(cut).where("tag <> ''").distinct().orderBy("tag")
+
+
+_STEMS = (
+    "list_transform(list_filter({toks}, lambda x: x not in ({stop})), lambda t: regexp_replace(regexp_replace(regexp_replace(t, '(..)ies$', '\\1y'), '(..(?:s|x|z|ch|sh))es$', '\\1'), '([a-z][^su])s$', '\\1'))"
+).replace("{stop}", ", ".join(f"'{w}'" for w in text.STOP_WORDS))
+_BM25_QUERY = "the keepers besides a cooler"
+
+
+@query(
+    f"""with {MEM}, docs as (select id, {_STEMS.replace('{toks}', _TOKS)} as toks from mem where {LIVE} and content is not null),
+asked as (select unnest(list_distinct({_STEMS.replace('{toks}', "list_filter(regexp_split_to_array('" + _BM25_QUERY + "', '[^a-z0-9]+'), lambda x: x <> '')")})) as term),
+tf as (select id, len(toks) as len, term, len(list_filter(toks, lambda t: t = term)) as tf from docs, asked), hit as (select * from tf where tf > 0),
+df as (select term, count(*) as df from hit group by term), size as (select count(*) as n, avg(len(toks)) as mean from docs),
+scored as (select id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / mean))), 6) as bm25 from hit join df using (term), size group by id)
+select id, bm25, row_number() over (order by bm25 desc, id)::int as rnk from scored order by bm25 desc, id limit 50"""
+)
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25_leg(memory(spark, d).where(scope.live(now())), _BM25_QUERY, R.FAN_OUT)
+
+
+@query(f"with {MEM} select k as mode, count(*) as n from (select unnest(['memories', 'documents', 'hybrid', 'hybrid']) as k, unnest([1, 2, 1, 2]) as src) m join (select 1 as src from ({_recall_sql(_MINE)}) union all select 2 from {_chunk_sql()}) h on m.src = h.src group by k")
+def search_modes(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for mode in ("memories", "documents", "hybrid"):
+        hits = R.search(mode, lambda: _recall(spark, d), lambda: R.search_chunks(chunks(spark, d), QUERY_TEXT, limit=10))
+        part = hits.select(F.lit(mode).alias("mode"))
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy("mode").agg(F.count("*").alias("n"))

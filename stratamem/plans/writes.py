@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratamem.functions import scope, text
 from stratamem.functions.keys import normalize_key
-from stratamem.operators import evaluation, graph, ingest, lifecycle, resolve
+from stratamem.operators import evaluation, graph, ingest, lifecycle, resolve, tenancy
 from stratamem.plans.corpus import ACTOR, LIVE, MEM, SQL_NOW, TENANT, documents, lifecycle_rows, memory, now
-from stratamem.session import read_table
-from stratamem.sources.exports import actor_export
+from stratamem.plans.retrieval import chunk_sql
+from stratamem.session import materialize, read_table
+from stratamem.sources.exports import actor_bundle, actor_export
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,9 +68,120 @@ def resolve_multi_valued(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def resolve_late_arrival(spark: SparkSession, d: str) -> DataFrame:
     """Facts of ``candidates`` in the order they were recorded, which is not the order of their effect."""
-    rows = memory(spark, d).select("tenant_id", "actor_id", normalize_key(F.col("subject")).alias("subject_key"), normalize_key(F.col("attribute")).alias("attribute_key"), "id", "value", "single_valued", "recorded_at", F.unix_micros("valid_from").alias("at_us"))
+    rows = memory(spark, d).select("tenant_id", "actor_id", normalize_key(F.col("subject")).alias("subject_key"), normalize_key(F.col("attribute")).alias("attribute_key"), "id", "value", "single_valued", "recorded_at", F.unix_micros("valid_from").alias("at_us"), F.unix_micros("valid_to").alias("end_us"))
     keyed = rows.where("subject_key <> '' and attribute_key <> ''")
-    return resolve.resolve_by_fold(keyed, ["tenant_id", "actor_id", "subject_key", "attribute_key"], "recorded_at", "at_us", "value", "id", "single_valued")
+    return resolve.resolve_by_fold(keyed, ["tenant_id", "actor_id", "subject_key", "attribute_key"], "recorded_at", "at_us", "value", "id", "single_valued", "end_us")
+
+
+_FOLDED = " select user_id, event_type, valid_from, valid_to, value, confidence, is_latest, fact_id, supersedes_id from done"
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", "event_type", "valid_from", "valid_to", "value", "confidence", "is_latest", "fact_id", "supersedes_id")
+
+
+@query(_EVENT_SEGMENTS + _FOLDED)
+def resolve_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The fold over facts that arrive in order of effect gives the segments of the closed form."""
+    facts = _event_facts(spark, d).where("val is not null").withColumn("single", F.lit(True))
+    return _in_order(resolve.resolve_by_fold(facts, ["user_id", "event_type"], "at_us", "at_us", "val", "event_id", "single"))
+
+
+def _told(content: str) -> list[dict]:
+    """Stands in for an extractor: the request's text is the fact as JSON."""
+    return [json.loads(content)]
+
+
+_ADDED = _EVENT_SEGMENTS + """ select 'u' || user_id as actor_id, event_type as attribute, valid_from, valid_to, value, confidence, is_latest, n_reports > 0 as kept
+from done"""
+
+
+@query(_ADDED)
+def ingest_add(spark: SparkSession, d: str) -> DataFrame:
+    """Requests in two deliveries, the second against the memory that the first left."""
+    fact = F.to_json(F.struct(F.concat(F.lit("is "), "val").alias("content"), F.lit("Self.").alias("subject"), F.initcap("event_type").alias("attribute"), F.col("val").alias("value"), F.lit(True).alias("single_valued"), F.col("at_us").alias("from_us")))
+    requests = _event_facts(spark, d).where("val is not null").select(
+        F.col("event_id").alias("id"), F.lit("t").alias("tenant_id"), F.concat(F.lit("u"), "user_id").alias("actor_id"), F.lit(None).cast("string").alias("custom_id"), fact.alias("content"), F.lit(None).cast("bigint").alias("as_of_us"), F.timestamp_micros("at_us").alias("received_at"),
+    )
+    half = F.lit("2024-07-01").cast("timestamp")
+    first = ingest.add(ingest.no_memory(spark), None, requests.where(F.col("received_at") < half), _told, F.lit(0))
+    kept = {k: materialize(first[k], "ingest") for k in ("memory", "sources")}
+    after = ingest.add(kept["memory"], kept["sources"], requests.where(F.col("received_at") >= half), _told, F.lit(0))["memory"]
+    return after.select("actor_id", "attribute", "valid_from", "valid_to", "value", "confidence", "is_latest", (F.col("status") != "conflict").alias("kept"))
+
+
+@query(f"with {MEM} select m.id, r.request_id as source_id, epoch_us(r.received_at) as received_us from mem m join add_requests r on r.request_id = m.source_id where m.tenant_id = '{TENANT}'")
+def memory_provenance(spark: SparkSession, d: str) -> DataFrame:
+    mine = scope.tenant_scan(memory(spark, d), TENANT).select("id", "source_id")
+    sources = read_table(spark, d, "add_requests").select(F.col("request_id").alias("source_id"), F.unix_micros("received_at").alias("received_us"))
+    return mine.join(sources, "source_id").select("id", "source_id", "received_us")
+
+
+
+@query(
+    f"with {MEM}, e as (select tenant_id, id as from_id, lead(id) over (partition by tenant_id, actor_id order by id) as to_id from mem), gone as (select id from mem where status = 'active' and mem_type = 'episode') "
+    "select tenant_id, count(*) as n from e where to_id is not null and from_id not in (select id from gone) and to_id not in (select id from gone) group by tenant_id"
+)
+def forget_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between each row and the next of its actor, after every current episode was forgotten."""
+    rows = memory(spark, d)
+    following = F.lead("id").over(Window.partitionBy("tenant_id", "actor_id").orderBy("id"))
+    edges = rows.select("tenant_id", F.col("id").alias("from_id"), following.alias("to_id"), F.lit("extends").alias("relation")).where("to_id is not null")
+    after = lifecycle.forget_by_id(lifecycle_rows(rows), rows.where("mem_type = 'episode'").select("actor_id", "id"), now())
+    return lifecycle.edges_left(edges, after).groupBy("tenant_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"with {MEM}, docs as (select ingest_id, received_at, row_number() over () as k from ingest_requests where tenant_id = '{TENANT}') select "
+    f"(select count(*) from mem where tenant_id = '{TENANT}' and actor_id = '{ACTOR}') as memories, (select count(*) from add_requests where tenant_id = '{TENANT}' and container_tag = '{ACTOR}') as sources, "
+    f"(select count(*) from ingest_requests where tenant_id = '{TENANT}' and container_tag = '{ACTOR}') as documents, (select count(*) from doc_chunks where ingest_id in (select ingest_id from ingest_requests where tenant_id = '{TENANT}' and container_tag = '{ACTOR}')) as chunks, "
+    f"(select count(*) > 0 from mem where tenant_id = '{TENANT}' and actor_id = '{ACTOR}' and {LIVE}) as has_profile"
+)
+def export_bundle(spark: SparkSession, d: str) -> DataFrame:
+    rows = memory(spark, d)
+    asked = read_table(spark, d, "add_requests").withColumn("actor_id", F.col("container_tag"))
+    docs = documents(spark, d).withColumn("actor_id", F.col("container_tag"))
+    pieces = read_table(spark, d, "doc_chunks").withColumnRenamed("ingest_id", "document_id").join(docs.select("document_id", "tenant_id", "actor_id"), "document_id")
+    tables = {"memories": (rows, "recorded_at", "id"), "sources": (asked, "received_at", "request_id"), "documents": (docs, "received_at", "document_id"), "chunks": (pieces, "document_id", "chunk_id")}
+    out = actor_bundle(tables, lifecycle.profiles(rows, now()), TENANT, ACTOR, now())
+    size = lambda c: F.size(F.from_json(c, "array<struct<tenant_id: string>>")).cast("bigint")
+    return out.select(*[size(c).alias(c) for c in ("memories", "sources", "documents", "chunks")], F.col("profile").isNotNull().alias("has_profile"))
+
+
+@query(
+    "with k as (select tenant_id, sha256('sm_' || tenant_id) as digest, row_number() over (order by tenant_id) % 3 = 0 as revoked from (select distinct tenant_id from candidates)) "
+    "select c.cand_id, k.tenant_id from candidates c join k on sha256('sm_' || c.tenant_id) = k.digest where not revoked"
+)
+def key_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every row asks with its tenant's key; every third tenant's keys were revoked."""
+    rows = read_table(spark, d, "candidates")
+    tenants = rows.select("tenant_id").distinct()
+    none = spark.createDataFrame([], "digest string, tenant_id string, label string, created_at timestamp, revoked_at timestamp")
+    issued = tenants.select(F.concat(F.lit("sm_"), "tenant_id").alias("token"), "tenant_id", F.lit(None).cast("string").alias("label"))
+    keys = tenancy.with_keys(none, issued, now())
+    third = keys.join(tenants.withColumn("k", F.row_number().over(Window.orderBy("tenant_id"))).where("k % 3 = 0").select("tenant_id"), "tenant_id")  # one row a tenant
+    active = tenancy.revoked(keys, third.select("digest"), now())
+    return tenancy.authenticated(rows.select("cand_id", F.concat(F.lit("sm_"), "tenant_id").alias("token")), active).select("cand_id", "tenant_id")
+
+
+@query("select count(*) as n, count(distinct external_id) as ids from (select tenant_id as external_id from candidates union select container_tag from add_requests where container_tag is not null)")
+def tenant_upsert(spark: SparkSession, d: str) -> DataFrame:
+    known = read_table(spark, d, "candidates").select("tenant_id", F.col("tenant_id").alias("external_id")).distinct()
+    asked = read_table(spark, d, "add_requests").select(F.col("container_tag").alias("external_id")).union(known.select("external_id"))
+    return tenancy.with_tenants(known, asked).agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"))
+
+
+@query("select doc_id, epoch_us(uploaded_at) as at_us from documents")
+def event_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Upload times written as RFC 3339 text in an offset of their own and read again."""
+    text_ = F.date_format(F.col("uploaded_at") + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")
+    return read_table(spark, d, "documents").select("doc_id", F.unix_micros(scope.event_date(F.array(text_))).alias("at_us"))
+
+
+@query("select cand_id, epoch_us(case when range_to > coalesce(range_from, recorded_at) then range_to end) as end_us from candidates where temporal_kind = 'range'")
+def interval_ends(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "candidates").where("temporal_kind = 'range'")
+    return rows.select("cand_id", F.unix_micros(scope.interval_end(F.coalesce("range_from", "recorded_at"), F.col("range_to"))).alias("end_us"))
 
 
 _LINES = "f as (select l_partkey, l_returnflag as val, epoch_us(l_shipdate) as at_us, l_orderkey * 10 + l_linenumber as tie from lineitem)"
@@ -165,7 +279,7 @@ _STATIC = "(forget_after is null and (is_static or round(confidence::double, 6)
 @query(
     f"""with {MEM}, l as (select *, {_TXT} as txt, {_STATIC} as st from mem where {LIVE}),
 s as (select tenant_id, actor_id, txt, row_number() over (partition by tenant_id, actor_id order by confidence desc, recorded_at desc, id desc) as rn from l where st),
-y as (select tenant_id, actor_id, txt, row_number() over (partition by tenant_id, actor_id order by recorded_at desc, id desc) as rn from l where not st),
+y as (select tenant_id, actor_id, txt, row_number() over (partition by tenant_id, actor_id order by recorded_at desc, id desc) as rn from l),
 sa as (select tenant_id, actor_id, string_agg(txt, '|' order by rn) as x from s where rn <= 50 group by all), ya as (select tenant_id, actor_id, string_agg(txt, '|' order by rn) as x from y where rn <= 20 group by all)
 select coalesce(sa.tenant_id, ya.tenant_id) as tenant_id, coalesce(sa.actor_id, ya.actor_id) as actor_id, md5(coalesce(sa.x, '')) as static_facts, md5(coalesce(ya.x, '')) as dynamic_ctx
 from sa full join ya on sa.tenant_id = ya.tenant_id and sa.actor_id = ya.actor_id"""
@@ -216,7 +330,7 @@ def actor_entities(spark: SparkSession, d: str) -> DataFrame:
     return graph.entities(graph.mentions(memory(spark, d).where("is_latest")))
 
 
-@query(f"with {_SAID}, seed as (select min(id) as id from mem where is_latest and tenant_id = '{TENANT}'), c as (select b.id as other_id, count(*) as shared from said a join said b on a.tenant_id = b.tenant_id and a.surface = b.surface and a.id <> b.id where a.id = (select id from seed) group by all) select (select id from seed) as id, other_id, shared from c order by shared desc, other_id limit 10")
+@query(f"with {_SAID}, seed as (select min(id) as id from mem where is_latest and tenant_id = '{TENANT}'), c as (select b.id as other_id, count(*) as shared from said a join said b on a.tenant_id = b.tenant_id and a.actor_id = b.actor_id and a.surface = b.surface and a.id <> b.id where a.id = (select id from seed) group by all) select (select id from seed) as id, other_id, shared from c order by shared desc, other_id limit 10")
 def related_memories(spark: SparkSession, d: str) -> DataFrame:
     rows = memory(spark, d).where("is_latest")
     seed = rows.where(F.col("tenant_id") == TENANT).agg(F.min("id").alias("id"))
@@ -261,7 +375,7 @@ def request_routing(spark: SparkSession, d: str) -> DataFrame:
     return run.select(F.lit(False).alias("queued")).union(later.select(F.lit(True))).groupBy("queued").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(chunk_sql("(select * from ingest_requests where coalesce(task_type, 'superrag') = 'superrag')", "document_id, (select tenant_id from docs where docs.document_id = marked.document_id) as tenant_id"))
 def document_ingest(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).where("coalesce(task_type, 'superrag') = 'superrag'")
     return ingest.document_chunks(docs.select("document_id", "tenant_id", "content"))

@@ -24,7 +24,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def read_long_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of one question each, with sessions paired with their dates.
 
-    A date reads ``2023/05/30 (Tue) 23:40``, in UTC; the weekday is ignored. A case with more
+    A date reads ``2019/11/04 (Mon) 06:15``, in UTC; the weekday is ignored. A case with more
     or fewer dates than sessions, or an answer that is an object or a list, is an error. An id
     that ends in ``_abs`` marks an abstention question.
     """

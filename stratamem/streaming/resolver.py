@@ -1,9 +1,8 @@
-"""Streaming resolution: facts arrive in micro-batches, each key keeps its rows as state.
+"""Streaming resolution: facts arrive in micro-batches, each key keeps its resolved rows as state.
 
-Late facts are placed, never dropped, so there is no watermark. The whole row list of a key
-is its state; a batch folds the key's new facts into it in order of arrival and emits the
-rows that changed, with the batch-independent version number of the key, so a reader keeps
-the greatest version per row.
+Late facts are placed, never dropped, so there is no watermark. A batch folds a key's new
+facts into its rows in order of arrival and emits the rows that changed, with the number of
+facts the key has had, so a reader keeps the greatest version per row.
 """
 
 from __future__ import annotations
@@ -14,46 +13,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stratamem.operators.resolve import STATE, fold
+from stratamem.operators.resolve import FIELDS, STATE, as_facts, as_frame, fold, fold_columns, key_schema
 
-_FIELDS = [c.split(" ")[0] for c in STATE.split(", ")]
+_STATE_COLUMNS = ", ".join(f"s_{c.split(' ')[0]} array<{c.split(' ')[1]}>" for c in STATE.split(", "))
 
 
-def resolve_stream(facts: DataFrame, key: Sequence[str], arrival: str, at_us: str, value: str, fact_id: str, single_valued: str) -> DataFrame:
+def resolve_stream(facts: DataFrame, key: Sequence[str], arrival: str, at_us: str, value: str, fact_id: str, single_valued: str, end_us: str | None = None) -> DataFrame:
     """``key + row columns + version`` for every row that a micro-batch changes (update mode).
 
-    The state of a key is the list of its facts so far. A fact delivered twice (same id) is
-    taken once, so a replayed batch changes nothing.
+    The state of a key is its rows and the ids of the facts it has had. A fact delivered
+    twice (same id) is taken once, so a replayed batch changes nothing.
     """
     names = list(key)
-    rows = facts.where(F.col(at_us).isNotNull()).select(*names, F.col(arrival).alias("_arrival"), F.col(at_us).alias("_at"), F.col(value).alias("_value"), F.col(fact_id).alias("_id"), F.col(single_valued).alias("_single"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    rows = fold_columns(facts, names, arrival, at_us, value, fact_id, single_valued, end_us)
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times, values, singles = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        old = {r["fact_id"]: r for r in fold(list(zip(ids, times, values, singles)))}
-        known = set(ids)
-        new = pd.concat(list(parts)).sort_values(["_arrival", "_id"])
-        for i, t, v, s in zip(new["_id"], new["_at"], new["_value"], new["_single"]):
-            if int(i) not in known:
-                known.add(int(i))
-                ids.append(int(i)), times.append(int(t)), values.append(None if pd.isna(v) else v), singles.append(bool(s))
-        state.update((ids, times, values, singles))
-        changed = [r for r in fold(list(zip(ids, times, values, singles))) if old.get(r["fact_id"]) != r]
-        out = pd.DataFrame(changed, columns=_FIELDS)
-        for c in ("valid_to", "supersedes_id"):
-            out[c] = out[c].astype("Int64")
-        for c, v in reversed(list(zip(names, k))):
-            out.insert(0, c, v)
+        ids, *columns = (list(x) for x in state.get) if state.exists else ([], *([] for _ in FIELDS))
+        old = [dict(zip(FIELDS, r)) for r in zip(*columns)]
+        had = set(ids)
+        new = []
+        for fact in as_facts(pd.concat(list(parts))):
+            if fact[0] not in had:
+                had.add(fact[0])
+                ids.append(fact[0])
+                new.append(fact)
+        now = fold(new, old)
+        state.update((ids, *([r[c] for r in now] for c in FIELDS)))
+        before = {r["fact_id"]: r for r in old}
+        out = as_frame([r for r in now if before.get(r["fact_id"]) != r], names, k)
         out["version"] = len(ids)
         yield out
 
     return rows.groupBy(*names).applyInPandasWithState(
-        run,
-        f"{head}, {STATE}, version bigint",
-        "ids array<bigint>, times array<bigint>, vals array<string>, singles array<boolean>",
-        "update",
-        GroupStateTimeout.NoTimeout,
+        run, f"{key_schema(rows, names)}, {STATE}, version bigint", f"ids array<bigint>, {_STATE_COLUMNS}", "update", GroupStateTimeout.NoTimeout
     )
 
 

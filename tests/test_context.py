@@ -44,6 +44,6 @@ def test_profile_with_query_bounds_only_the_recall(spark):
     )
     now = F.lit(T0)
     own, none = recall.profile_with_query(rows, "t", "a", now, "  ")
-    assert none is None and sum(len(r["static_facts"]) + len(r["dynamic_ctx"]) for r in own.collect()) == 6
+    assert none is None and sum(len(r["static_facts"]) + len(r["dynamic_ctx"]) for r in own.collect()) == 12
     own, found = recall.profile_with_query(rows, "t", "a", now, "tea", limit=2)
-    assert found.count() == 2 and sum(len(r["static_facts"]) + len(r["dynamic_ctx"]) for r in own.collect()) == 6
+    assert found.count() == 2 and sum(len(r["static_facts"]) + len(r["dynamic_ctx"]) for r in own.collect()) == 12

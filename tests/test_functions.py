@@ -63,7 +63,7 @@ def test_deep_filters_are_false(spark):
     assert df.where(metafilter.to_column(json.dumps(tree), F.col("metadata"))).count() == 0
 
 
-@pytest.mark.parametrize(("tag", "want"), [("user:9", ("user:9", [])), ("org:7:user:99", ("user:99", ["org:7"])), ("plain", ("plain", [])), ("a:b", ("b", ["a"])), ("x:org:7:user:1", ("user:1", ["x:org", "7"]))])
+@pytest.mark.parametrize(("tag", "want"), [("user:kim", ("user:kim", [])), ("team:blue:user:kim", ("user:kim", ["team:blue"])), ("solo", ("solo", [])), ("shelf:book", ("book", ["shelf"])), ("z:team:4:user:5", ("user:5", ["z:team", "4"]))])
 def test_container_tags(spark, tag, want):
     assert scope.parse_container_tag(tag) == want
     row = spark.createDataFrame([(tag,)], "t string").select(scope.container_actor(F.col("t")).alias("a"), scope.container_tags(F.col("t")).alias("g")).first()
@@ -93,12 +93,10 @@ def test_every_tenant_scan_is_pushed_down(spark, tmp_path):
 def test_windows():
     assert text.windows("", 20, 6) == [] and text.windows("  \n", 20, 6) == []
     assert text.windows("short", 20, 6) == ["short"]
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
-    parts = text.windows(words, 20, 6)
-    assert all(len(p) <= 20 for p in parts) and set(words.split()) <= set(" ".join(parts).split())
-    assert text.windows("abcdefghijklmnop", 5, 1)[0] == "abcde"
-    assert len(text.windows("é" * 100, 8, 2)) < 40
-    assert text.windows("x" * 100, 10, 100)[-1].endswith("x")
+    assert text.windows("one two three four", 9, 2) == ["one two", "wo three", "ee four"]
+    # an unbroken run behind a short word is not walked through letter by letter
+    assert [len(p) for p in text.windows("a" * 90 + " " + "b" * 1500)] == [90, 999, 601]
+    assert text.windows("c" * 25, 10, 99) == ["c" * 10] and text.windows(" " * 30 + "d", 10, 2) == ["d"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -151,3 +149,23 @@ def test_providers(spark):
     assert [bucket.admit("k") for _ in range(3)] == [True, True, False]
     now[0] = 30.0
     assert bucket.admit("k") and providers.TokenBucket(0).admit("k")
+
+
+def test_preview_counts_other_snippets(spark):
+    df = spark.createDataFrame([(["one\r\ntwo"],), (["x" * 90, "b", "c"],), ([],), (None,)], "s array<string>")
+    assert [r["p"] for r in df.select(text.preview(F.col("s")).alias("p")).collect()] == ["one", "x" * 80 + " (+2 more)", "(none)", "(none)"]
+
+
+def test_stems(spark):
+    df = spark.createDataFrame([("The boxes of parties and glasses pass; cats' status",), (None,)], "t string")
+    got = [r["s"] for r in df.select(text.stems(F.col("t")).alias("s")).collect()]
+    assert got == [["box", "party", "glass", "pass", "cat", "status"], None]
+
+
+def test_rfc3339(spark):
+    df = spark.createDataFrame([("2024-02-03T04:05:06+02:00", 1), ("2024-02-03T02:05:06.5Z", 2), (None, 3), ("soon", 4), ("2024-02-31T00:00:00Z", 5)], "t string, k int")
+    at = scope.rfc3339(F.col("t"), "date")
+    assert [str(r["a"]) for r in df.where("k < 4").orderBy("k").select(at.alias("a")).collect()] == ["2024-02-03 02:05:06", "2024-02-03 02:05:06.500000", "None"]
+    for k in (4, 5):
+        with pytest.raises(Exception, match="date is not a valid"):
+            df.where(f"k = {k}").select(at).collect()

@@ -1,10 +1,11 @@
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratamem.operators import components, evaluation, graph, history, ingest, lifecycle, recall, resolve
+from stratamem.operators import components, evaluation, graph, history, ingest, lifecycle, recall, resolve, tenancy
 
 T0 = datetime(2025, 1, 1)
 
@@ -89,11 +90,11 @@ def test_reports_edge_cases(spark):
 
 
 STEPS = [
-    # fact, start, value, single-valued
-    (1, 1, "NYC", True),
-    (2, 2, "SF", True),
-    (3, 0, "LA", True),
-    (4, 3, "SF", True),
+    # fact, start, end, value, single-valued
+    (1, 1, None, "oak", True),
+    (2, 2, None, "elm", True),
+    (3, 0, None, "fir", True),
+    (4, 3, None, "elm", True),
 ]
 
 
@@ -108,15 +109,106 @@ def test_fold_script():
 
 
 def test_fold_multi_valued_and_conflict():
-    both = resolve.fold([(1, 1, "English", False), (2, 1, "French", False)])
+    both = resolve.fold([(1, 1, None, "red", False), (2, 1, None, "blue", False)])
     assert all(r["is_latest"] for r in both)
-    clash = resolve.fold([(1, 1, "a", True), (2, 1, "b", True)])
+    clash = resolve.fold([(1, 1, None, "a", True), (2, 1, None, "b", True)])
     assert [r["status"] for r in clash] == ["active", "conflict"]
     assert resolve.decide("x", True, []) == ("insert", []) and resolve.decide(None, True, [(1, "a")]) == ("supersede", [1])
 
 
+def test_fold_keeps_ends():
+    rows = {r["fact_id"]: r for r in resolve.fold([(1, 10, 20, "a", True), (2, 30, 25, "b", True), (3, 2, 4, "c", True), (4, 5, 99, "d", True)])}
+    assert (rows[1]["valid_from"], rows[1]["valid_to"], rows[1]["status"]) == (10, 30, "superseded")
+    assert rows[2]["valid_to"] is None and rows[2]["is_latest"]  # an end before the start is none
+    assert rows[3]["valid_to"] == 4 and rows[4]["valid_to"] == 10
+    assert resolve.fold([(5, 40, None, "e", True)], list(rows.values()))[1]["status"] == "superseded" and rows[2]["status"] == "active"
+
+
+def _requests(spark, rows):
+    cols = "id long, tenant_id string, actor_id string, custom_id string, content string, as_of_us long, received_at timestamp, extra string"
+    return spark.createDataFrame([(i, "t", a, c, None if f is None else json.dumps(f), at, T0 + timedelta(seconds=i), "x") for i, a, c, f, at in rows], cols)
+
+
+def _extractor():
+    def heard(content):
+        facts = json.loads(content)
+        if facts == "poison":
+            raise ValueError("cannot read")
+        return [{"content": " ".join(map(str, f)), "subject": "me", "attribute": f[0], "value": f[1], "single_valued": f[2], **(f[3] if len(f) > 3 else {})} for f in facts]
+
+    return heard  # workers cannot import this module, so the callable is one of its own
+
+
+def test_ingest_add_script(spark):
+    synonyms = spark.createDataFrame([("lives in", "home"), ("current city", "home")], "surface string, canonical string")
+    rows = [
+        (1, "u", None, [["lives in", "Oslo", True]], 100),
+        (2, "u", None, [["Current  City.", "Rome", True]], 200),
+        (3, "u", None, [["home", "Bonn", True]], 50),
+        (4, "u", None, [["speaks", "Norse", False], ["speaks", "Latin", False]], 100),
+        (5, "u", None, [["home", "Rome", True]], 300),
+        (6, "u", "same", [["tool", "saw", True]], 100),
+        (7, "u", "same", [["tool", "axe", True]], 200),
+        (8, "u", None, [["role", "cook", True, {"from_us": 500, "to_us": 400}]], None),
+        (9, "u", None, [["?", "odd", True]], None),
+        (10, "v", None, "poison", None),
+        (11, "v", None, None, None),
+    ]
+    none = ingest.no_memory(spark)
+    out = ingest.add(none, None, _requests(spark, rows[:2]), _extractor(), F.lit(900), synonyms)
+    memory = spark.createDataFrame(out["memory"].collect(), out["memory"].schema)
+    known = spark.createDataFrame(out["sources"].collect(), out["sources"].schema)
+    out = ingest.add(memory, known, _requests(spark, rows[2:]), _extractor(), F.lit(900), synonyms)
+    got = {(r["attribute"], r["value"]): r for r in out["memory"].collect()}
+    assert len(got) == 8 and out["memory"].columns == memory.columns
+    assert [k for k, r in got.items() if k[0] == "home" and r["is_latest"]] == [("home", "Rome")]
+    assert got["home", "Oslo"]["valid_to"] == 200 and got["home", "Bonn"]["valid_to"] == 100 and got["home", "Rome"]["confidence"] == 0.6
+    assert got["speaks", "Norse"]["is_latest"] and got["speaks", "Latin"]["is_latest"] and ("tool", "axe") not in got
+    assert got["role", "cook"]["valid_to"] is None and got[None, "odd"]["valid_from"] == 900
+    assert [(r["id"], r["error"]) for r in out["failed"].collect()] == [(10, "cannot read")]
+    assert {r["source_id"]: (r["inserted"], r["deduped"]) for r in out["actions"].collect()}[5] == (0, 1)
+    assert out["sources"].count() == 10
+    assert ingest.add(memory, known, _requests(spark, rows).limit(0), _extractor(), F.lit(0))["memory"].count() == memory.count()
+
+
+def test_queue(spark):
+    rows = _requests(spark, [(1, "u", "a", [["home", "Oslo", True]], 1), (2, "u", "a", [["home", "Rome", True]], 2), (3, "u", None, "poison", None), (4, "u", None, [["pet", "cat", True]], 3)])
+    empty = rows.limit(0).selectExpr("*", "false as needs_extraction", "timestamp(null) as claimed_at", "timestamp(null) as ingested_at")
+    queue, taken = ingest.enqueue(empty, rows, _now())
+    assert {r["id"]: r["queued"] for r in taken.collect()} == {1: True, 2: False, 3: True, 4: True}
+    cut = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    after, memory = ingest.work_off(cut(queue), ingest.no_memory(spark), _extractor(), _now(), cut, most=2)
+    assert {r["id"]: r["needs_extraction"] for r in after.collect()} == {1: False, 3: True, 4: False}
+    assert sorted(r["value"] for r in memory.collect()) == ["Oslo", "cat"]
+    later = _now() + F.expr("interval 1 hour")
+    assert [r["id"] for r in ingest.pending(after, later, 300, 10).collect()] == [3]
+
+
+def test_keys(spark):
+    none = spark.createDataFrame([], "digest string, tenant_id string, label string, created_at timestamp, revoked_at timestamp")
+    keys = tenancy.with_keys(none, spark.createDataFrame([("k1", "t", None), ("k2", "t", "two")], "token string, tenant_id string, label string"), _now())
+    asked = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "no"), (4, None)], "q long, token string")
+    assert {r["q"] for r in tenancy.authenticated(asked, keys).collect()} == {1, 2}
+    gone = tenancy.revoked(keys, keys.where("label = 'two'").select("digest"), _now())
+    assert [r["q"] for r in tenancy.authenticated(asked, gone).collect()] == [1]
+    known = spark.createDataFrame([("t1", "acme")], "tenant_id string, external_id string")
+    assert tenancy.with_tenants(known, spark.createDataFrame([("acme",), ("new",), ("new",), (None,)], "external_id string")).count() == 2
+
+
+def test_forgetting_leaves_no_edge(spark):
+    edges = spark.createDataFrame([("t", 1, 2, "extends"), ("t", 2, 3, "extends"), ("x", 1, 3, "extends")], "tenant_id string, from_id long, to_id long, relation string")
+    mem = _mem(spark, dict(id=1, status="forgotten", is_latest=False), dict(id=2), dict(id=3))
+    assert {(r["tenant_id"], r["from_id"]) for r in lifecycle.edges_left(edges, mem).collect()} == {("t", 2), ("x", 1)}
+
+
+def test_recognised_entities(spark):
+    mem = _mem(spark, dict(id=1, content="Ann met Bo"), dict(id=2, content="boom"))
+    found = graph.recognised(mem, lambda t: 1 / 0 if t == "boom" else ["Ann", " Bo ", ""])
+    assert {(r["id"], r["surface"]) for r in found.collect()} == {(1, "ann"), (1, "bo")}
+
+
 def test_three_repeats_reach_the_bar():
-    rows = resolve.fold([(i, i, "a", True) for i in range(4)])
+    rows = resolve.fold([(i, i, None, "a", True) for i in range(4)])
     assert rows[0]["confidence"] >= resolve.BAR
 
 
@@ -241,7 +333,7 @@ def test_profiles(spark):
         dict(id=6, actor_id="quiet", content="gone", status="forgotten", is_latest=False),
     )
     got = lifecycle.profiles(mem, _now()).collect()
-    assert [(r["actor_id"], r["static_facts"], r["dynamic_ctx"]) for r in got] == [("u", ["city: Rome", "set"], ["passing", "note"])]
+    assert [(r["actor_id"], r["static_facts"], r["dynamic_ctx"]) for r in got] == [("u", ["city: Rome", "set"], ["set", "passing", "note", "city: Rome"])]
     assert "- set" in evaluation.profile_markdown(got[0]["static_facts"], [])
 
 

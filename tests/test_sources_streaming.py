@@ -19,13 +19,13 @@ def test_cases(spark, tmp_path):
 
 
 def test_long_cases(spark, tmp_path):
-    base = {"question_id": "q1_abs", "question_type": "t", "question": "q", "answer": 7, "haystack_dates": ["2023/05/30 (Tue) 23:40"], "haystack_sessions": [[{"role": "user", "content": "x"}]]}
+    base = {"question_id": "q1_abs", "question_type": "t", "question": "q", "answer": 7, "haystack_dates": ["2019/11/04 (Mon) 06:15"], "haystack_sessions": [[{"role": "user", "content": "x"}]]}
     good, uneven, odd = tmp_path / "g.json", tmp_path / "u.json", tmp_path / "o.json"
     good.write_text(json.dumps([base]))
     uneven.write_text(json.dumps([base | {"haystack_dates": []}]))
     odd.write_text(json.dumps([base | {"answer": [1]}]))
     row = datasets.read_long_cases(spark, str(good)).first()
-    assert str(row["sessions"][0]["date"]) == "2023-05-30 23:40:00"
+    assert str(row["sessions"][0]["date"]) == "2019-11-04 06:15:00"
     assert row["questions"][0]["abstention"] and row["questions"][0]["answer"] == "7"
     for bad in (uneven, odd):
         with pytest.raises(Exception, match="in case q1_abs"):
