@@ -1,13 +1,18 @@
 """Evaluation passages inside a training corpus, by latent semantic retrieval.
 
 Documents and held-out items are cut into overlapping passages of words. Passages are TF-IDF
-vectors over the items' vocabulary (a word outside it cannot be part of a leaked passage);
-document frequencies are counted over all documents. A randomised SVD gives the latent space:
-the range finder's products with the passages of the corpus are summed over all partitions,
-so only matrices of vocabulary times rank reach the driver, and the items' vocabulary is the
-bound on that. Every passage's latent vector is compared with the latent vectors of the item
-passages (the stated, fixed query set), and each candidate is checked by aligning the words:
-the document must hold the asked number of consecutive item words, at most one damaged.
+vectors over the items' vocabulary; document frequencies are counted over all documents, and
+a passage of which less than ``KNOWN`` of the words are in that vocabulary has no vector worth
+comparing. A randomised SVD gives the latent space: the range finder's products with the
+passages of the corpus are summed over all partitions, so only matrices of vocabulary times
+rank reach the driver, and the items' vocabulary is the bound on that. Candidates are the
+pairs of a document's and an item's passage whose latent vectors have a cosine over a bar;
+nothing else finds candidates. Each is then checked by its words: the document holds the
+asked number of consecutive item words, at most one damaged (kind ``verbatim``), or its
+longest common subsequence with the item covers a large part of the item and the item's
+answer stands there too (kind ``reworded``).
+
+Items are taken in blocks of at most ``ITEM_BLOCK``, so what is broadcast has a bound.
 """
 
 from __future__ import annotations
@@ -33,6 +38,14 @@ _SOUND = re.compile(r"\[[^\[\]]{0,200}\]|\([^()]{0,200}\)|\*[^*\n]{1,200}\*|♪[
 #: Words of a passage and the step between passages.
 PASSAGE, STEP = 16, 4
 RANK = 96
+#: Words of a passage that must be in the items' vocabulary.
+KNOWN = 11
+#: Cosine from which two passages are candidates. Measured against every pair, see the README.
+COSINE = 0.25
+#: Items searched for at once: the bound of the vocabulary, the latent space and the broadcast.
+ITEM_BLOCK = 5_000
+#: Share of an item's words that a reworded copy has in the item's order.
+REWORDED = 0.6
 
 
 def folded(text: str) -> str:
@@ -138,113 +151,131 @@ def _run(words: list[str], i: int, item: list[str], j: int) -> int:
     return n
 
 
+def common_subsequence(seen: list[str], where: dict[str, int]) -> int:
+    """Length of the longest common subsequence with an item, whose words' places are bits in ``where``."""
+    row = 0
+    for w in seen:
+        here = where.get(w, 0)
+        x = row | here
+        row = x & ~(x - (row << 1 | 1))
+    return row.bit_count()
+
+
 class _Vocabulary:
-    """The items' words, their places, and what a passage of words amounts to."""
+    """A block of items: their words and places, answers, and which words each has."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]]):
         self.items = items
-        self.index = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
-        self.where = []
-        for _, words in items:
+        self.index = {w: k for k, w in enumerate(sorted({w for _, words, _ in items for w in words}))}
+        self.where, self.bits = [], []
+        keys = []
+        for k, (_, words, _) in enumerate(items):
             at: dict[str, list[int]] = {}
             for j, w in enumerate(words):
                 at.setdefault(w, []).append(j)
             self.where.append(at)
-
-        pairs = {self.index[a] * len(self.index) + self.index[b] for _, words in items for a, b in zip(words, words[1:])}
-        self.pairs = np.zeros(1 << max(16, (64 * len(pairs)).bit_length()), bool)
-        self.pairs[self._place(np.array(sorted(pairs), np.int64))] = True
+            self.bits.append({w: sum(1 << j for j in places) for w, places in at.items()})
+            keys += [k * len(self.index) + self.index[w] for w in at]
+        # (item, word) as a bitmap of hashed places, 16 for each pair: a few others pass, none is lost.
+        self.has = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
+        self.has[self._place(np.array(keys, np.int64))] = True
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * 2654435761) & (len(self.pairs) - 1)
+        return (keys * 2654435761 >> 7) & (len(self.has) - 1)
 
-    def has_pair(self, ids: np.ndarray) -> np.ndarray:
-        """Whether each word and the next are neighbours in an item; a rare other pair may pass."""
-        known = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        return known & self.pairs[self._place(ids[:-1].astype(np.int64) * len(self.index) + ids[1:])]
+    def member(self, item: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether the items have the words; a rare other pair may pass."""
+        return (ids >= 0) & self.has[self._place(item * len(self.index) + ids)]
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.index.get
         return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
 
 
-def _starts(vocab: _Vocabulary, ids: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the passages that can hold a run of ``least`` item words, one of them damaged.
-
-    In such a run all words but one are item words and all pairs of neighbours but two are
-    neighbours in an item. Passages whose runs have not even half of those pairs would get a
-    vector of almost no weight; they are left out, which loses no case.
-    """
-    n = len(ids)
-    if n < least:
-        return np.zeros(0, np.int64)
+def _starts(ids: np.ndarray) -> np.ndarray:
+    """Starts of the passages, at every step, of which enough words are in the vocabulary; a short text is one passage."""
     known = np.concatenate([[0], np.cumsum(ids >= 0)])
-    able = known[least:] - known[:-least] >= least - 1
-    if able.any():
-        pairs = np.concatenate([[0], np.cumsum(vocab.has_pair(ids))])
-        able &= pairs[least - 1 :] - pairs[: 1 - least] >= max(0, min(least - 3, least // 2))
-    # A run at p lies whole in the passage that starts at the step before p, for PASSAGE >= least + STEP - 1.
-    return np.unique(np.flatnonzero(able) // STEP * STEP)
+    at = np.arange(0, max(1, len(ids) - PASSAGE + STEP), STEP)
+    full = known[np.minimum(at + PASSAGE, len(ids))] - known[at]
+    return at[full >= min(KNOWN, len(ids))] if len(ids) else at[:0]
+
+
+def _compact(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words under the passages only, end to end with a passage of nothing behind, and the starts among them."""
+    ids = np.concatenate([ids, np.full(PASSAGE, -1, np.int32)])
+    keep = np.zeros(len(ids) + 1, np.int32)
+    np.add.at(keep, starts, 1)
+    np.add.at(keep, np.minimum(starts + PASSAGE, len(ids)), -1)
+    keep = np.cumsum(keep[:-1]) > 0
+    at = (np.cumsum(keep) - 1)[starts]
+    return np.concatenate([ids[keep], np.full(PASSAGE, -1, np.int32)]), at
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 #: Words handled at once; bounds a task's memory.
-CHUNK = 3_000
+CHUNK = 20_000
 
 
-def _chunks(docs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents' word ids laid end to end, each followed by a passage of nothing, their passage starts and whose they are."""
-    ids, starts, owner, size = [], [], [], 0
-    gap = np.full(PASSAGE, -1, np.int32)
-    for k, (own, at) in enumerate(docs):
-        ids += [own, gap]
-        starts.append(at + size)
-        owner.append(np.full(len(at), k))
-        size += len(own) + PASSAGE
-        if size > CHUNK:
-            yield np.concatenate(ids), np.concatenate(starts), np.concatenate(owner)
-            ids, starts, owner, size = [], [], [], 0
-    if ids:
-        yield np.concatenate(ids), np.concatenate(starts), np.concatenate(owner)
+def _chunks(ids_of: pa.ListArray, at_of: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows laid end to end: their word ids, their passage starts and whose they are."""
+    ids, id_offsets = _flat(ids_of)
+    at, at_offsets = _flat(at_of)
+    row = np.repeat(np.arange(len(ids_of)), np.diff(at_offsets))
+    at = at + id_offsets[:-1][row]
+    k = 0
+    while k < len(ids_of):
+        upto = max(k + 1, int(np.searchsorted(id_offsets, id_offsets[k] + CHUNK, "right")) - 1)
+        upto = min(upto, len(ids_of))
+        s, e = at_offsets[k], at_offsets[upto]
+        if e > s:
+            yield ids[id_offsets[k] : id_offsets[upto]], at[s:e] - id_offsets[k], row[s:e]
+        k = upto
 
 
 def _passages_times(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Products of the passages' TF-IDF vectors with ``right``, by running sums over the words, and their lengths squared."""
-    rows = np.vstack([idf[:, None] * right, np.zeros((1, right.shape[1]))])
-    sums = np.zeros((len(ids) + 1, right.shape[1]))
+    rows = np.vstack([idf[:, None] * right, np.zeros((1, right.shape[1]))]).astype(np.float32)
+    sums = np.zeros((len(ids) + 1, right.shape[1]), np.float32)
     np.cumsum(rows[ids], axis=0, out=sums[1:])
     own = np.append(idf, 0.0)[ids]
     size = np.concatenate([[0.0], np.cumsum(own * own)])
     return sums[starts + PASSAGE] - sums[starts], np.maximum(size[starts + PASSAGE] - size[starts], 1e-9)
 
 
-def _prepared(vocab, least: int):
-    """Per document with a possible passage: its words and passage starts; per batch: word counts."""
+def _prepared(vocab):
+    """Per reading of a document with a passage: its words, ids and passage starts; at the end of a partition: word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocab.value
         total, docs, kind = np.zeros(len(own.index) + 1, np.int64), 0, None
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        names = ["doc_id", "words", "ids", "at", "place", "terms", "counts"]
         for batch in batches:
             kind = batch.schema.field(0).type
-            ids, texts, starts = [], [], []
+            rows: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs += 1
                 for k, words in enumerate(_readings(text)):
-                    at = own.ids(words)
+                    ids = own.ids(words)
                     if not k:
-                        total[np.unique(at)] += 1  # words outside the vocabulary count in the last place
-                    able = _starts(own, at, least)
-                    if len(able):
-                        ids.append(key), texts.append(" ".join(words)), starts.append(able.tolist())
-            n = len(ids)
+                        total[np.unique(ids)] += 1  # words outside the vocabulary count in the last place
+                    starts = _starts(ids)
+                    if len(starts):
+                        short, at = _compact(ids, starts)
+                        for column, value in zip(rows, (key, " ".join(words), short, at, starts)):
+                            column.append(value)
+            n = len(rows[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array(texts, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))],
-                names=["doc_id", "words", "starts", "terms", "counts"],
+                [pa.array(rows[0], kind), pa.array(rows[1], pa.string()), *(pa.array(r, ints) for r in rows[2:]), pa.nulls(n, ints), pa.nulls(n, longs)], names=names
             )
         if docs:
             at = np.flatnonzero(total[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([[*at.tolist(), -1]], pa.list_(pa.int32())), pa.array([[*total[at].tolist(), docs]], pa.list_(pa.int64()))],
-                names=["doc_id", "words", "starts", "terms", "counts"],
+                [pa.nulls(1, kind), pa.nulls(1, pa.string()), *(pa.nulls(1, ints) for _ in range(3)), pa.array([[*at.tolist(), -1]], ints), pa.array([[*total[at].tolist(), docs]], longs)], names=names
             )
 
     return run
@@ -254,13 +285,13 @@ def _prepared(vocab, least: int):
 BLOCK = 512
 
 
-def _product(vocab, idf: np.ndarray, right: np.ndarray):
+def _product(idf: np.ndarray, right: np.ndarray):
     """Blocks of A'(A right) over this partition's passages A."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(right.shape)
         for batch in batches:
-            for ids, starts, _ in _chunks((vocab.value.ids(w.split(" ")), np.array(at)) for w, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for ids, starts, _ in _chunks(batch.column(0), batch.column(1)):
                 _add_product(out, ids, starts, idf, right)
         yield _blocks(out)
 
@@ -269,15 +300,16 @@ def _product(vocab, idf: np.ndarray, right: np.ndarray):
 
 def _add_product(out: np.ndarray, ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, right: np.ndarray) -> None:
     y, squared = _passages_times(ids, starts, idf, right)
-    y /= squared[:, None]
-    cover = np.zeros((len(ids) + 1, right.shape[1]))
+    y /= squared[:, None].astype(np.float32)
+    cover = np.zeros((len(ids) + 1, right.shape[1]), np.float32)
     cover[starts] += y  # starts differ, and so do ends
     cover[starts + PASSAGE] -= y
     np.cumsum(cover, axis=0, out=cover)
     known = np.flatnonzero(ids >= 0)
     order = known[np.argsort(ids[known], kind="stable")]
     terms, first = np.unique(ids[order], return_index=True)
-    out[terms] += idf[terms][:, None] * np.add.reduceat(cover[order], first, axis=0)
+    if len(terms):
+        out[terms] += idf[terms][:, None] * np.add.reduceat(cover[order], first, axis=0)
 
 
 def _blocks(out: np.ndarray) -> pa.RecordBatch:
@@ -294,27 +326,27 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([a.tobytes() for a in sums.values()], pa.binary())], names=["block", "part"])
 
 
-def _gram_times(passages: DataFrame, vocab, idf: np.ndarray, right: np.ndarray, item_side: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    summed = passages.mapInArrow(_product(vocab, idf, right), "block int, part binary").repartition("block").mapInArrow(_summed, "block int, part binary")
+def _gram_times(passages: DataFrame, idf: np.ndarray, right: np.ndarray, item_side: tuple[pa.ListArray, pa.ListArray]) -> np.ndarray:
+    summed = passages.mapInArrow(_product(idf, right), "block int, part binary").repartition("block").mapInArrow(_summed, "block int, part binary")
     out = np.zeros(right.shape)
     for r in summed.collect():
         a = np.frombuffer(r["part"]).reshape(-1, right.shape[1])
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(a)] += a
-    for ids, starts, _ in _chunks(iter(item_side)):
+    for ids, starts, _ in _chunks(*item_side):
         _add_product(out, ids, starts, idf, right)
     return out
 
 
-def latent_space(passages: DataFrame, vocab, idf: np.ndarray, item_side: list[tuple[np.ndarray, np.ndarray]], rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors and values of the TF-IDF passages (corpus and items), by randomised SVD.
+def latent_space(passages: DataFrame, idf: np.ndarray, item_side: tuple[pa.ListArray, pa.ListArray], rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and values of the unit TF-IDF passages ``(ids, at)`` of corpus and items, by randomised SVD.
 
     A Gaussian test matrix, one power iteration and a Rayleigh-Ritz step; each of the two
     passes sums A'(A X) over the partitions.
     """
     n = len(idf)
     wide = min(n, rank + 16)
-    q, _ = np.linalg.qr(_gram_times(passages, vocab, idf, np.random.default_rng(seed).standard_normal((n, wide)), item_side))
-    z = _gram_times(passages, vocab, idf, q, item_side)
+    q, _ = np.linalg.qr(_gram_times(passages, idf, np.random.default_rng(seed).standard_normal((n, wide)), item_side))
+    z = _gram_times(passages, idf, q, item_side)
     small = q.T @ z
     vals, vecs = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(vals)[::-1][: min(rank, wide)]
@@ -323,63 +355,79 @@ def latent_space(passages: DataFrame, vocab, idf: np.ndarray, item_side: list[tu
 
 def _latent(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, space: np.ndarray) -> np.ndarray:
     y, _ = _passages_times(ids, starts, idf, space)
-    return (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), np.float32(1e-12))
+
+
+def _near(near: np.ndarray, latent: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the two with a cosine over the bar, block by block."""
+    rows, columns = [], []
+    for a in range(0, len(near), 1024):
+        for b in range(0, len(latent), 4096):
+            hit = (near[a : a + 1024] @ latent[b : b + 4096].T) >= cosine
+            width = hit.shape[1]
+            at = np.flatnonzero(hit)
+            rows.append(at // width + a)
+            columns.append(at % width + b)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def _has_answer(seen: list[str], answer: list[str]) -> bool:
+    return bool(answer) and set(answer) <= set(seen)
 
 
 def _search(known, least: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, idf, space, firsts, latent = known.value
-        member = np.zeros((len(own.items), len(own.index) + 1), bool)
-        for k, at in enumerate(own.where):
-            member[k, [own.index[w] for w in at]] = True
+        own, idf, space, latent, item_of = known.value
+        span = np.arange(PASSAGE)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [t.split(" ") for t in batch.column(1).to_pylist()]
-            ats = [np.array(at) for at in batch.column(2).to_pylist()]
-            cands: dict[tuple[int, int], list[int]] = {}
-            for ids, starts, docs in _chunks((own.ids(w), at) for w, at in zip(texts, ats)):
-                near = _latent(ids, starts, idf, space)
-                place = np.concatenate([ats[k] for k in np.unique(docs)])
-                for a in range(0, len(firsts), 256):  # items, each with all its passages
-                    lo, hi = firsts[a], firsts[a + 256] if a + 256 < len(firsts) else len(latent)
-                    r, c = np.nonzero(np.maximum.reduceat(near @ latent[lo:hi].T, firsts[a : a + 256] - lo, axis=1) >= cosine)
-                    item = a + c
-                    # A passage goes on only if the one item has all but one of so many words in a row.
-                    sums = np.cumsum(member[item[:, None], ids[starts[r][:, None] + np.arange(PASSAGE)]], axis=1, dtype=np.int8)
-                    sums[:, least:] -= sums[:, :-least].copy()
-                    ok = np.flatnonzero(sums[:, least - 1 :].max(axis=1, initial=0) >= least - 1)
-                    for k, i, s in zip(docs[r[ok]].tolist(), item[ok].tolist(), place[r[ok]].tolist()):
-                        cands.setdefault((k, i), []).append(s)
-            ids, items, lengths = [], [], []
-            for (k, item), where in cands.items():
-                if n := longest_passage(texts[k], sorted(set(where)), own.items[item][1], own.where[item], least):
-                    ids.append(keys[k]), items.append(own.items[item][0]), lengths.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(items, pa.int64()), pa.array(lengths, pa.int32())], names=["doc_id", "item_id", "n_words"])
+            place, _ = _flat(batch.column(4))
+            done = 0
+            cands: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+            for ids, starts, rows in _chunks(batch.column(2), batch.column(3)):
+                r, c = _near(_latent(ids, starts, idf, space), latent, cosine)
+                # a pair of a passage and an item once, however many of the item's passages are near
+                item = item_of[c].astype(np.int64)
+                pair, first = np.unique(item * len(starts) + r, return_index=True)
+                item, r = item[first], r[first]
+                has = own.member(item[:, None], ids[starts[r][:, None] + span])
+                run_ = np.cumsum(has, axis=1, dtype=np.int8)
+                run_[:, least:] -= run_[:, :-least].copy()
+                strict = run_[:, least - 1 :].max(axis=1, initial=0) >= least - 1
+                loose = has.sum(axis=1) >= 2 * PASSAGE // 3
+                for k, i, s, exact in zip(rows[r[strict | loose]].tolist(), item[strict | loose].tolist(), place[done + r[strict | loose]].tolist(), strict[strict | loose].tolist()):
+                    at = cands.setdefault((k, i), ([], []))
+                    at[0 if exact else 1].append(s)
+                done += len(starts)
+            texts: dict[int, list[str]] = {}
+            out: list[tuple] = []
+            for (k, i), (exact, near) in cands.items():
+                if k not in texts:
+                    texts[k] = batch.column(1)[k].as_py().split(" ")
+                words, (name, item, answer) = texts[k], own.items[i]
+                n = longest_passage(words, sorted(set(exact)), item, own.where[i], least) if exact else 0
+                first, last = min(exact + near), max(exact + near) + PASSAGE
+                around = words[max(0, first - len(item)) : last + len(item)] if last - first <= 2 * len(item) else words
+                both = common_subsequence(around, own.bits[i])
+                told = _has_answer(around, answer)
+                if n:
+                    out.append((keys[k], name, n, both, told, "verbatim"))
+                elif both >= REWORDED * len(item) and told:
+                    out.append((keys[k], name, 0, both, told, "reworded"))
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(columns, kinds)], names=["doc_id", "item_id", "n_words", "n_common", "has_answer", "kind"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", least: int = 12, cosine: float = 0.3) -> DataFrame:
-    """``(doc_id, item_id, n_words)``: documents that hold ``least`` consecutive words of an item, one may be damaged.
-
-    ``n_words`` is the longest such run found. ``items`` is the held-out set, a query set of
-    fixed size that is collected; items of fewer words than ``least`` or with a null id cannot
-    leak; ``least`` may be 2 to PASSAGE - STEP + 1. Documents with a null id or text take no part; a repeated id gives one row per item.
-    Words of a document are read with and without the repeated lines of roll-up captions.
-    """
-    if not 2 <= least <= PASSAGE - STEP + 1:
-        raise ValueError(f"least must be 2 to {PASSAGE - STEP + 1}")
-    spark = documents.sparkSession
-    rows = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(passage_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").collect()
-    held = [(r["i"], w) for r in rows if len(w := WORD.findall(folded(r["t"]))) >= least]
-    src = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+def _leaks_of(src: DataFrame, held: list[tuple[int, list[str], list[str]]], least: int, cosine: float) -> DataFrame:
+    """Leaks of one block of items."""
+    spark = src.sparkSession
     kind = src.schema["doc_id"].dataType.simpleString()
-    if not held:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id bigint, n_words int")
     own = _Vocabulary(held)
     vocab = spark.sparkContext.broadcast(own)
-    schema = f"doc_id {kind}, words string, starts array<int>, terms array<int>, counts array<bigint>"
-    ready = materialize(src.mapInArrow(_prepared(vocab, least), schema), "passages")
+    ready = materialize(src.mapInArrow(_prepared(vocab), f"doc_id {kind}, words string, ids array<int>, at array<int>, place array<int>, terms array<int>, counts array<bigint>"), "passages")
     counted = ready.where("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).groupBy("c.terms").agg(F.sum("c.counts").alias("n")).collect()
     counts = {r["terms"]: r["n"] for r in counted}  # no more rows than the items have words
     n_docs = counts.pop(-1, 0)
@@ -387,11 +435,45 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     for k, n in counts.items():
         df[k] = n
     idf = np.log((1 + n_docs) / (1 + df)) + 0.05
-    item_side = [(own.ids(w), np.arange(0, max(1, len(w) - least + 1), STEP)) for _, w in held]
-    passages = ready.where("doc_id is not null").select("doc_id", "words", "starts")
-    space, _ = latent_space(passages.select("words", "starts"), vocab, idf, item_side)
-    firsts = np.cumsum([0, *(len(starts) for _, starts in item_side)])[:-1]
-    latent = np.concatenate([_latent(ids, starts, idf, space) for ids, starts, _ in _chunks(iter(item_side))])
-    known = spark.sparkContext.broadcast((own, idf, space, firsts, latent))
-    found = passages.mapInArrow(_search(known, least, cosine), f"doc_id {kind}, item_id bigint, n_words int")
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    cut = [(own.ids(w), np.arange(0, max(1, len(w) - least + 1), STEP)) for _, w, _ in held]
+    padded = [(np.concatenate([ids, np.full(2 * PASSAGE, -1, np.int32)]), at) for ids, at in cut]
+    item_side = tuple(pa.array([x[j] for x in padded], pa.list_(pa.int32())) for j in (0, 1))
+    passages = ready.where("doc_id is not null")
+    space, _ = latent_space(passages.select("ids", "at"), idf, item_side)
+    latent, item_of = [], []
+    for ids, starts, rows in _chunks(*item_side):
+        latent.append(_latent(ids, starts, idf, space))
+        item_of.append(rows)
+    known = spark.sparkContext.broadcast((own, idf, space, np.concatenate(latent), np.concatenate(item_of)))
+    return passages.select("doc_id", "words", "ids", "at", "place").mapInArrow(_search(known, least, cosine), f"doc_id {kind}, item_id bigint, n_words int, n_common int, has_answer boolean, kind string")
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "text", answer_col: str = "answer", least: int = 12, cosine: float = COSINE) -> DataFrame:
+    """``(doc_id, item_id, n_words, n_common, has_answer, kind)``: documents in which a passage of an item occurs.
+
+    Kind ``verbatim``: the document holds ``least`` consecutive words of the item, one may be
+    damaged; ``n_words`` is the longest such run found. Kind ``reworded``: no such run, but the
+    longest common subsequence with the item, ``n_common`` words, is at least ``REWORDED`` of
+    the item, and all words of the item's answer stand there. ``items`` is the held-out set, a
+    query set of fixed size; it is collected block by block. Items of fewer words than
+    ``least`` or with a null id cannot leak; a null answer, or a table without that column,
+    has no reworded leaks; ``least`` may be 2 to PASSAGE - STEP + 1. Documents with a null id
+    or text take no part; a repeated id gives one row per item. Words of a document are read
+    with and without the repeated lines of roll-up captions.
+    """
+    if not 2 <= least <= PASSAGE - STEP + 1:
+        raise ValueError(f"least must be 2 to {PASSAGE - STEP + 1}")
+    spark = documents.sparkSession
+    answer = F.col(answer_col) if answer_col in items.columns else F.lit(None).cast("string")
+    rows = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(passage_col).alias("t"), answer.alias("a")).where("i is not null and t is not null").distinct()
+    src = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    kind = src.schema["doc_id"].dataType.simpleString()
+    blocks = max(1, -(-rows.count() // ITEM_BLOCK))
+    found = spark.createDataFrame([], f"doc_id {kind}, item_id bigint, n_words int, n_common int, has_answer boolean, kind string")
+    for k in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("i", "t", "a"), F.lit(blocks)) == k).orderBy("i", "t", "a").collect()
+        held = [(r["i"], w, WORD.findall(folded(r["a"] or ""))) for r in block if len(w := WORD.findall(folded(r["t"]))) >= least]
+        if held:
+            found = found.unionByName(_leaks_of(src, held, least, cosine))
+    best = F.max(F.struct("n_words", "n_common", "has_answer", "kind")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

@@ -64,7 +64,7 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_leaks(spark, d).select("doc_id", "item_id")
+    return p6_leaks(spark, d).where("kind = 'verbatim'").select("doc_id", "item_id")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -193,7 +193,7 @@ def test_leaks(spark):
         10: "1 00:00:01.0 - 00:00:02.0 | " + " / ".join(w[4:18]),
     }
     items = spark.createDataFrame([(70, ITEM, "x"), (71, "too short", "x"), (None, ITEM, "x"), (72, None, "x")], "item_id long, text string, words string")
-    df = spark.createDataFrame([(k, v, 1) for k, v in docs.items()] + [(1, docs[1], 1)], "doc_id long, text string, starts int")
+    df = spark.createDataFrame([(k, v, 1) for k, v in docs.items()] + [(1, docs[1], 1)], "doc_id long, text string, ids int")
     got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in leaks.leaked_items(df, items).collect()}
     assert set(got) == {(k, 70) for k in (1, 2, 5, 9, 10)}
     assert got[(1, 70)] == 12 and got[(5, 70)] == len(w)
@@ -201,15 +201,59 @@ def test_leaks(spark):
     assert leaks.leaked_items(df, items.where("item_id = 71")).count() == 0
 
 
-def test_randomised_svd_spans_the_top(spark):
+def test_reworded_leaks(spark):
+    w = ITEM.split(" ")
+    noise = [f"noise{k}" for k in range(40)]
+    reworded = list(w)
+    for k in (3, 9, 15):
+        reworded[k] = "else"  # no run of twelve is left
+    docs = [(1, " ".join(noise + reworded + noise)), (2, " ".join(noise + [x for x in reworded if x != "hazeldial"] + noise)), (3, " ".join(noise + w[:12] + noise)), (4, " ".join(reworded[::-1]))]
+    items = spark.createDataFrame([(70, ITEM, "The hazeldial!"), (71, " ".join(f"other{k}" for k in range(20)), None)], "item_id long, text string, answer string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in leaks.leaked_items(df, items).collect()}
+    assert got == {(1, 70): "reworded", (3, 70): "verbatim"}
+    assert {r["kind"] for r in leaks.leaked_items(df, items.drop("answer")).collect()} == {"verbatim"}
+    # nothing but the cosine finds candidates: over its bar there are none
+    assert leaks.leaked_items(df, items, cosine=1.1).count() == 0
+
+
+def test_items_in_blocks_give_the_same(spark, monkeypatch):
+    w = ITEM.split(" ")
+    items = [(k, " ".join(x + (str(k) if k else "") for x in w)) for k in range(6)]
+    df = spark.createDataFrame([(k, "before it " + t + " and behind") for k, t in items], "doc_id long, text string")
+    held = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, held).collect()} == {(k, k) for k in range(6)}
+
+
+def test_latent_space_is_the_top_of_the_svd(spark):
     import numpy as np
+    import pyarrow as pa
 
     rng = np.random.default_rng(0)
-    a = rng.standard_normal((40, 12)) @ np.diag([9, 7, 5, *[0.1] * 9]) @ rng.standard_normal((12, 12))
-    q, _ = np.linalg.qr(a.T @ (a @ rng.standard_normal((12, 6))))
-    z = a.T @ (a @ q)
-    vals = np.sqrt(np.sort(np.linalg.eigvalsh(q.T @ z))[::-1][:3])
-    assert np.allclose(vals, np.linalg.svd(a, compute_uv=False)[:3], rtol=1e-2)
+    words = [rng.choice(30, 16, p=np.r_[np.full(3, 0.2), np.full(27, 0.4 / 27)]).astype(np.int32) for _ in range(60)]
+    idf = rng.uniform(0.5, 2, 30)
+    df = spark.createDataFrame([(np.r_[x, np.full(16, -1)].tolist(), [0]) for x in words], "ids array<int>, at array<int>")
+    none = (pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.int32())))
+    space, values = leaks.latent_space(df, idf, none, rank=6)
+    a = np.zeros((60, 30))
+    for k, x in enumerate(words):
+        np.add.at(a[k], x, idf[x])
+        a[k] /= np.sqrt((idf[x] ** 2).sum())  # lengths as the passages have them
+    _, want, vt = np.linalg.svd(a)
+    assert np.allclose(values, want[:6], rtol=0.05)
+    assert np.linalg.svd(space[:, :2].T @ vt[:2].T, compute_uv=False).min() > 0.98
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_common_subsequence(x, y):
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+    bits = {c: sum(1 << j for j, b in enumerate(y) if b == c) for c in y}
+    assert leaks.common_subsequence(x, bits) == table[-1][-1]
 
 
 # ---- mixing
