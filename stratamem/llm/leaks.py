@@ -168,7 +168,7 @@ class _Vocabulary:
         self.items = items
         self.index = {w: k for k, w in enumerate(sorted({w for _, words, _ in items for w in words}))}
         self.where, self.bits = [], []
-        keys = []
+        keys, pairs = [], []
         for k, (_, words, _) in enumerate(items):
             at: dict[str, list[int]] = {}
             for j, w in enumerate(words):
@@ -176,16 +176,24 @@ class _Vocabulary:
             self.where.append(at)
             self.bits.append({w: sum(1 << j for j in places) for w, places in at.items()})
             keys += [k * len(self.index) + self.index[w] for w in at]
-        # (item, word) as a bitmap of hashed places, 16 for each pair: a few others pass, none is lost.
-        self.has = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
-        self.has[self._place(np.array(keys, np.int64))] = True
+            pairs += [(k * len(self.index) + self.index[v]) * len(self.index) + self.index[w] for v, w in zip(words, words[1:])]
+        # (item, word) and (item, word, next word) as bitmaps of hashed places, 16 for each: a few others pass, none is lost.
+        self.has, self.follows = (np.zeros(1 << max(16, (16 * len(x)).bit_length()), bool) for x in (keys, pairs))
+        self.has[self._place(np.array(keys, np.int64), self.has)] = True
+        self.follows[self._place(np.array(pairs, np.int64), self.follows)] = True
 
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * 2654435761 >> 7) & (len(self.has) - 1)
+    @staticmethod
+    def _place(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return (keys * 2654435761 >> 7) & (len(table) - 1)
 
     def member(self, item: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether the items have the words; a rare other pair may pass."""
-        return (ids >= 0) & self.has[self._place(item * len(self.index) + ids)]
+        return (ids >= 0) & self.has[self._place(item * len(self.index) + ids, self.has)]
+
+    def next_to(self, item: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each word and the next follow each other in the items; a rare other pair may pass."""
+        both = (ids[:, :-1] >= 0) & (ids[:, 1:] >= 0)
+        return both & self.follows[self._place((item * len(self.index) + ids[:, :-1]) * len(self.index) + ids[:, 1:], self.follows)]
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.index.get
@@ -390,21 +398,27 @@ def _search(known, least: int, cosine: float):
                 item = item_of[c].astype(np.int64)
                 pair, first = np.unique(item * len(starts) + r, return_index=True)
                 item, r = item[first], r[first]
-                has = own.member(item[:, None], ids[starts[r][:, None] + span])
+                seen = ids[starts[r][:, None] + span]
+                has = own.member(item[:, None], seen)
                 run_ = np.cumsum(has, axis=1, dtype=np.int8)
                 run_[:, least:] -= run_[:, :-least].copy()
                 strict = run_[:, least - 1 :].max(axis=1, initial=0) >= least - 1
+                # one damaged word breaks two of a run's pairs; half of them is asked for, as an alignment follows
+                strict[strict] = own.next_to(item[strict][:, None], seen[strict]).sum(axis=1) >= max(0, min(least - 3, least // 2))
                 loose = has.sum(axis=1) >= 2 * PASSAGE // 3
                 for k, i, s, exact in zip(rows[r[strict | loose]].tolist(), item[strict | loose].tolist(), place[done + r[strict | loose]].tolist(), strict[strict | loose].tolist()):
                     at = cands.setdefault((k, i), ([], []))
                     at[0 if exact else 1].append(s)
                 done += len(starts)
-            texts: dict[int, list[str]] = {}
+            texts: dict[int, tuple[list[str], set[str]]] = {}
             out: list[tuple] = []
             for (k, i), (exact, near) in cands.items():
                 if k not in texts:
-                    texts[k] = batch.column(1)[k].as_py().split(" ")
-                words, (name, item, answer) = texts[k], own.items[i]
+                    words = batch.column(1)[k].as_py().split(" ")
+                    texts[k] = words, set(words)
+                (words, all_words), (name, item, answer) = texts[k], own.items[i]
+                if not exact and not (answer and all_words.issuperset(answer) and sum(w in all_words for w in item) >= REWORDED * len(item)):
+                    continue
                 n = longest_passage(words, sorted(set(exact)), item, own.where[i], least) if exact else 0
                 first, last = min(exact + near), max(exact + near) + PASSAGE
                 around = words[max(0, first - len(item)) : last + len(item)] if last - first <= 2 * len(item) else words
