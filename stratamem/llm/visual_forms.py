@@ -2,8 +2,8 @@
 
 Compatibility forms, composed or separate accents, kinds of space and invisible characters
 are made one. Then each run of letters is resolved by script: every letter stands for the
-scripts in which a letter of its shape exists, the sets are intersected over the run, and the
-run is spelled in the script that remains. A run with no common script is mixed beyond repair
+scripts it is used in (the Unicode property Script_Extensions) and those in which a letter of
+its shape exists, the sets are intersected over the run, and the run is spelled in the script that remains. A run with no common script is mixed beyond repair
 and takes the Latin shapes letter by letter; a run that could be spelled whole in several
 scripts takes the script that the text's unambiguous letters mostly have.
 
@@ -16,8 +16,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -45,13 +47,34 @@ _OTHER = re.compile("[Ͱ-ԯἀ-῿Ⰰ-ⷿꙀ-ꚟ]")
 _RUN = re.compile(r"(?:[^\W\d_]|[̀-ͯ])+")
 
 
-def _script(ch: str) -> str:
-    c = ord(ch)
-    if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000:
-        return "Greek"
-    if 0x400 <= c < 0x530 or 0x2DE0 <= c < 0x2E00 or 0xA640 <= c < 0xA6A0:
-        return "Cyrillic"
-    return "Latin"
+#: Scripts told apart; a character of none of them is a script of its own plane and block.
+SCRIPTS = (
+    "Latin Greek Cyrillic Armenian Georgian Cherokee Coptic Glagolitic Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu "
+    "Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar Ethiopic Khmer Mongolian Han Hiragana Katakana Bopomofo Hangul Canadian_Aboriginal Lisu Vai Nko Tifinagh"
+).split()
+_EXTENSIONS = [(s, regex.compile(rf"\p{{scx={s}}}")) for s in SCRIPTS]
+_ANY = regex.compile(r"[\p{sc=Common}\p{sc=Inherited}]")
+#: Writing systems that mix scripts by nature.
+_TOGETHER = {"Han": {"Japanese", "Korean", "Chinese"}, "Hiragana": {"Japanese"}, "Katakana": {"Japanese"}, "Hangul": {"Korean"}, "Bopomofo": {"Chinese"}}
+
+
+@lru_cache(maxsize=1 << 16)
+def script_set(ch: str) -> frozenset[str] | None:
+    """The scripts a character is used in, by the Unicode property Script_Extensions, with the writing systems that mix them; None for all."""
+    own = {s for s, p in _EXTENSIONS if p.match(ch)}
+    if not own:
+        return None if _ANY.match(ch) else frozenset({f"block {ord(ch) >> 7:x}"})
+    return frozenset(own.union(*(_TOGETHER.get(s, set()) for s in own)))
+
+
+def resolved_scripts(run: str) -> frozenset[str] | None:
+    """The scripts common to all characters of a run: empty if it is mixed, None if any script will do."""
+    out = None
+    for ch in run:
+        own = script_set(ch)
+        if own is not None:
+            out = own if out is None else out & own
+    return out
 
 
 def scripts_of(run: str) -> tuple[set[str], Counter]:
@@ -60,14 +83,29 @@ def scripts_of(run: str) -> tuple[set[str], Counter]:
     for ch in run:
         if unicodedata.combining(ch):
             continue
-        own = _script(ch)
-        can = {own} if own != "Latin" else {"Latin", *(s for s, table in _TO.items() if ch in table)}
+        own = script_set(ch)
+        if own is None:
+            continue
+        can = own | {s for s, table in _TO.items() if ch in table}
         able &= can
         if len(can) == 1:
-            sure[own] += 1
+            sure[next(iter(can))] += 1
     return able, sure
 
 
+def verdicts(text: str) -> tuple[int, int]:
+    """Runs of letters as they stand: how many are mixed (no script common to all letters), and how many of a Greek or Cyrillic run could be Latin as a whole."""
+    if text.isascii():
+        return 0, 0
+    mixed = whole = 0
+    for run in _RUN.findall(INVISIBLE.sub("", text)):
+        if not run.isascii():
+            scripts = resolved_scripts(run)
+            mixed += scripts == frozenset()
+            whole += bool(scripts) and bool(scripts & {"Greek", "Cyrillic"}) and "Latin" not in scripts and "Latin" in scripts_of(shapes(run))[0]
+    return mixed, whole
+
+
 def shapes(text: str) -> str:
     """Decomposed text with every look-alike letter in its Latin shape and nothing invisible."""
     text = unicodedata.normalize("NFKD", INVISIBLE.sub("", text))
@@ -96,17 +134,6 @@ def consistent_form(text: str) -> str:
     return unicodedata.normalize("NFC", plain)
 
 
-def mixed_runs(text: str) -> int:
-    """Runs of letters whose characters come from more than one script as they stand."""
-    if text.isascii():
-        return 0
-    n = 0
-    for run in _RUN.findall(INVISIBLE.sub("", text)):
-        if not run.isascii() and len({_script(c) for c in run if c.isalpha()}) > 1:
-            n += 1
-    return n
-
-
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         high, low, own = [], [], []
@@ -123,30 +150,37 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         forms = [None if t is None else consistent_form(t) for t in texts]
+        runs = [(None, None) if t is None else verdicts(t) for t in texts]
+        changed = [None if t is None else t != f for t, f in zip(texts, forms)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(forms, pa.string()), pa.array([None if t is None else t != f for t, f in zip(texts, forms)], pa.bool_()), pa.array([None if t is None else mixed_runs(t) for t in texts], pa.int32())],
-            names=["rec_id", "form", "changed", "mixed_runs"],
+            [batch.column(0), pa.array(forms, pa.string()), pa.array(changed, pa.bool_()), *(pa.array([r[k] for r in runs], pa.int32()) for k in (0, 1))],
+            names=["rec_id", "form", "changed", "mixed_runs", "whole_runs"],
         )
 
 
 def consistent_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(rec_id, form, changed, mixed_runs)``, one row per input row; a null text has null results."""
+    """``(rec_id, form, changed, mixed_runs, whole_runs)``, one row per input row; a null text has null results."""
     src = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"))
     kind = src.schema["rec_id"].dataType.simpleString()
-    return src.mapInArrow(_forms, f"rec_id {kind}, form string, changed boolean, mixed_runs int")
+    return src.mapInArrow(_forms, f"rec_id {kind}, form string, changed boolean, mixed_runs int, whole_runs int")
 
 
 def look_alikes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_a, doc_b)``: ids whose texts differ but have one consistent form, smaller id first.
 
     Only hashes are shuffled. Forms under which all texts are equal (repeated uploads) leave
-    before the join. Null ids or texts take no part; repeated rows count once.
+    first; different texts of a form are paired once each, whatever the number of their
+    uploads, and uploads join those pairs, so no rows meet that are not in the result. Null ids or texts take no part; repeated rows count once.
     """
     src = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text")).where("rec_id is not null and text is not null")
     kind = src.schema["rec_id"].dataType.simpleString()
     marks = materialize(src.mapInArrow(_hashes, f"rec_id {kind}, high bigint, low bigint, own bigint"), "forms")
-    varied = marks.groupBy("high", "low").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("high", "low")
-    ids = marks.join(varied, ["high", "low"], "left_semi").distinct()
-    a = ids.select("high", "low", F.col("rec_id").alias("doc_a"), F.col("own").alias("own_a"))
-    b = ids.select("high", "low", F.col("rec_id").alias("doc_b"), F.col("own").alias("own_b"))
-    return a.join(b, ["high", "low"]).where("doc_a < doc_b and own_a <> own_b").select("doc_a", "doc_b").distinct()
+    form = ["high", "low"]
+    texts = marks.groupBy(*form, "own").agg(F.count("*").alias("n"))  # one row a text, however often it was uploaded
+    varied = texts.groupBy(*form).agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select(*form)
+    kept = texts.join(varied, form, "left_semi")
+    pairs = kept.select(*form, F.col("own").alias("own_a")).join(kept.select(*form, F.col("own").alias("own_b")), form).where("own_a < own_b")
+    ids = marks.join(varied, form, "left_semi").select(*form, "own", "rec_id").distinct()
+    a = pairs.join(ids.select(*form, F.col("own").alias("own_a"), F.col("rec_id").alias("a")), [*form, "own_a"])
+    both = a.join(ids.select(*form, F.col("own").alias("own_b"), F.col("rec_id").alias("b")), [*form, "own_b"]).where("a <> b")
+    return both.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()

@@ -146,7 +146,21 @@ def test_what_differs_stays_different(a, b):
 def test_script_is_kept():
     assert vf.consistent_form("пaук и сок") == "паук и сок"
     assert vf.consistent_form("The сat") == "The cat"
-    assert vf.mixed_runs("The сat паук") == 1
+    assert vf.verdicts("The сat паук") == (1, 0) and vf.verdicts("сор Оле") == (0, 1) and vf.verdicts("cop") == (0, 0)
+
+
+def test_script_sets():
+    assert vf.script_set("a") == {"Latin"} and vf.script_set("ж") == {"Cyrillic"} and vf.script_set("1") is None and {"Latin", "Greek", "Cyrillic"} <= vf.script_set("\u0301")
+    assert "Japanese" in vf.resolved_scripts("日本ごカ") and vf.resolved_scripts("日a") == frozenset()
+    assert vf.resolved_scripts("ա") == {"Armenian"} and vf.resolved_scripts("aա") == frozenset() and vf.resolved_scripts("12") is None
+    # the script decides the spelling of what the shapes leave open
+    assert vf.consistent_form("сор и жук") == "сор и жук" and vf.consistent_form("cop и жук") == "сор и жук" and vf.shapes("сор") == "cop"
+
+
+def test_many_uploads_of_one_look(spark):
+    rows = [(k, "care") for k in range(2000)] + [(5000, "сare"), (5001, "сare")]
+    pairs = vf.look_alikes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert pairs.count() == 4000
 
 
 @settings(max_examples=100, deadline=None)
