@@ -1,13 +1,16 @@
 """Finding personal information in free text and replacing it with typed placeholders.
 
 E-mail addresses, phone numbers, identity numbers and street addresses have forms and are
-found by them. Names have none: a term is taken for a name by how strongly it discloses a
-person. Over the whole corpus it is counted how often each capitalised term stands in
-person slots (after a title, after "my name is", before a family name ...) and how often it
-occurs at all; the pointwise mutual information between the term and the slots, smoothed for
-rare terms, estimates the disclosure. Terms over the threshold, and the listed name hints,
-disclose by themselves; where one stands in a slot, or next to another one, it is a person.
-Listed terms that are also ordinary words need such a place, which their statistics tell.
+found by them. Names have none: how strongly a term reveals a person is estimated from what
+it occurs with in the corpus. First contexts are weighed: the two tokens before or behind a
+capitalised run (an item found by form counts as one token of its kind), by the share of
+their runs that are listed names, and by how many different listed names they are seen with.
+Contexts over the threshold, and titles, are person slots. Then terms are weighed by the share
+of their occurrences in person slots, smoothed for rare terms; the logarithm of that share over
+the corpus-wide one is the pointwise mutual information of term and slot. Terms over the
+disclosure threshold, and the listed names, disclose by themselves; where one stands in a
+slot, or next to another one, it is a person. Listed terms that are also ordinary words need
+such a place, which their statistics tell.
 """
 
 from __future__ import annotations
@@ -178,17 +181,11 @@ def structured_items(text: str) -> list[tuple[int, int, str]]:
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ORG_AFTER = re.compile(rf"(?:-[^\W\d_]+)?(?:\s+(?:and|&)\s+\w+)?\s+(?:[^\W\d_]+\s)?(?:{ORGANISATIONS}|{STREET_WORDS})\b")
-#: Places that a person fills, as the text before or after.
-_SLOT_BEFORE = re.compile(
-    r"(?:\b(?:my name is|calls? me|i work with|i have|okay|please add|signed,|for the visa:|emergency contact:|tell|ask|dear|hello|hi|regards,|name:|contact:|thanks,?)\s+|\b"
-    + TITLES
-    + r"\.?\s+)$",
-    re.I,
-)
-_SLOT_AFTER = re.compile(
-    r"(?: (?:will pick up|moved my|on this|down as|it is urgent|said\b|says\b|told\b|wrote\b)|, I stored|, though|, document\b|, tel\b|,? \(?(?:\+\d|tel:|\(\d)|,? \(\d|,? (?:p\.? ?o\.? ?box|flat|apt|calle)\b|, \d)",
-    re.I,
-)
+_TITLE_BEFORE = re.compile(r"\b" + TITLES + r"\.?\s+$", re.I)
+_CONTEXT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
+#: Tokens of a context, which ends where the sentence does, and characters that they are looked for in.
+NEAR, REACH = 2, 32
 
 
 def _tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -223,38 +220,67 @@ def _stretches(text: str, tokens: list[tuple[int, int, str]], chosen: list[bool]
         yield run
 
 
-def _in_slot(text: str, start: int, end: int) -> bool:
-    return bool(_SLOT_BEFORE.search(text[max(0, start - 32) : start]) or _SLOT_AFTER.match(text, end))
+def _context(parts: list[str]) -> str:
+    return " ".join("0" if t.isdigit() else t.lower() for t in parts)
 
 
-def term_evidence(text: str) -> list[tuple[str, int, int]]:
-    """``(term, occurrences, occurrences in person slots)`` of one text.
+def contexts(text: str, spans: list[tuple[int, int, str]], start: int, end: int) -> tuple[str, str]:
+    """What stands right before and right behind a run: two tokens each, fewer at the ends of its sentence."""
+    before = next((f"<{kind}> {text[e:start].strip()}" for s, e, kind in spans if start - 3 <= e <= start), None)
+    behind = next((f"{text[end:s].strip()} <{kind}>" for s, e, kind in spans if end <= s <= end + 3), None)
+    if before is None:
+        parts = _CONTEXT.findall(_SENTENCE_END.split(text[max(0, start - REACH) : start])[-1])
+        before = _context(parts[-NEAR:] if len(parts) >= NEAR else ["^", *parts])
+    if behind is None:
+        parts = _CONTEXT.findall(_SENTENCE_END.split(text[end : end + REACH])[0])
+        behind = _context(parts[:NEAR] if len(parts) >= NEAR else [*parts, "$"])
+    return "L " + before, "R " + behind
+
+
+def _in_slot(text: str, spans: list[tuple[int, int, str]], start: int, end: int, slots: frozenset[str]) -> bool:
+    if _TITLE_BEFORE.search(text[max(0, start - REACH) : start]):
+        return True
+    return bool(slots) and not slots.isdisjoint(contexts(text, spans, start, end))
 
-    A term counts whatever its case; only capitalised runs outside structured items and names
-    of organisations or streets can fill a slot, and those others are not counted at all.
+
+def text_evidence(text: str, listed: frozenset[str]) -> tuple[list[tuple[int, int, str]], list[tuple], list[tuple[str, int]], list[str]]:
+    """What one text tells: items found by form, capitalised runs, terms with their occurrences, and contexts to look up.
+
+    A run is ``(left, right, words, listed, titled)``. A term counts whatever its case; runs
+    are capitalised words outside the items. Names of organisations or streets are not
+    counted at all.
     """
     text = plain(text)
-    tokens = _tokens(text, structured_items(text))
+    spans = structured_items(text)
+    tokens = _tokens(text, spans)
     chosen = [text[s].isupper() and w not in TITLE_WORDS and not (w.title() in NOT_NAMES and w not in _ALSO_NAMES) and e - s > 1 for s, e, w in tokens]
-    out: dict[str, list[int]] = {}
-    inside: dict[int, int] = {}
+    counts: dict[str, int] = {}
+    runs, asked, out = [], set(), set()
     for run in _stretches(text, tokens, chosen):
         start, end = tokens[run[0]][0], tokens[run[-1]][1]
-        if len(run) > 5:
+        if _ORG_AFTER.match(text, end):
+            out.update(run)
             continue
-        value = -1 if _ORG_AFTER.match(text, end) else int(_in_slot(text, start, end))
-        inside |= dict.fromkeys(run, value)
+        words = [tokens[i][2] for i in run if chosen[i]]
+        left, right = contexts(text, spans, start, end)
+        titled = bool(_TITLE_BEFORE.search(text[max(0, start - REACH) : start]))
+        runs.append((left, right, words, all(w in listed for w in words), titled))
+        asked |= {left, right}
+        if len(run) > 1:
+            for i in run:
+                asked.update(contexts(text, spans, tokens[i][0], tokens[i][1]))
     for i, (s, e, w) in enumerate(tokens):
-        if e - s < 2 or inside.get(i, 0) < 0:
-            continue
-        n = out.setdefault(w, [0, 0])
-        n[0] += 1
-        n[1] += inside.get(i, 0)
-    return [(w, n, k) for w, (n, k) in out.items()]
+        if w in listed and text[s].islower():
+            asked.update(contexts(text, spans, s, e))
+        if e - s > 1 and i not in out:
+            counts[w] = counts.get(w, 0) + 1
+    return spans, runs, list(counts.items()), sorted(asked)
 
 
 #: Words of the list above that are names as well.
 _ALSO_NAMES = frozenset("hope mark grace rose reed may june april".split())
+#: A context is a person slot if this share of its runs are listed names, of so many kinds at least.
+SLOT, KINDS_IN_SLOT = 0.5, 3
 #: A term discloses a person if this share of its occurrences, smoothed, is in person slots.
 DISCLOSURE = 0.1
 #: Below this share a name is also an ordinary word, and counts only in a slot or beside another name.
@@ -263,8 +289,8 @@ UNAMBIGUOUS = 0.6
 PRIOR = 1.0
 
 
-def names_in(text: str, spans: list[tuple[int, int, str]], terms: dict[str, tuple[float, str | None]]) -> list[tuple[int, int, str]]:
-    """Items of kind name. ``terms`` gives each disclosing term's share and, if listed, its part."""
+def names_in(text: str, spans: list[tuple[int, int, str]], terms: dict[str, tuple[float, str | None]], slots: frozenset[str]) -> list[tuple[int, int, str]]:
+    """Items of kind name. ``terms`` gives each disclosing term's share and, if listed, its part; ``slots`` the contexts that are person slots."""
     text = plain(text)
     tokens = _tokens(text, spans)
     chosen = [w in terms for _, _, w in tokens]
@@ -277,11 +303,11 @@ def names_in(text: str, spans: list[tuple[int, int, str]], terms: dict[str, tupl
             if not named:
                 continue
             start, end = tokens[part[0]][0], tokens[part[-1]][1]
-            if _ORG_AFTER.match(text, end) and not _SLOT_BEFORE.search(text[max(0, start - 32) : start]):
+            if _ORG_AFTER.match(text, end) and not _TITLE_BEFORE.search(text[max(0, start - REACH) : start]):
                 continue
             strong = [i for i in named if terms[tokens[i][2]][0] >= UNAMBIGUOUS]
             upper = all(text[tokens[i][0]].isupper() for i in named)
-            slot = _in_slot(text, start, end)
+            slot = _in_slot(text, spans, start, end, slots)
             if upper and (slot or strong or (len(named) >= 2 and len(part) >= 2)) or (not upper and len(named) >= 2 and (strong or slot)):
                 found.append((start, end, "name"))
     return found
@@ -314,62 +340,100 @@ def sanitized(text: str, items: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tables, ids, terms, n, k = [], [], [], [], []
-        for table, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for w, a, b in term_evidence(text):
-                tables.append(table), ids.append(key), terms.append(w), n.append(a), k.append(b)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tables, pa.string()), pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64())],
-            names=["rec_table", "rec_id", "term", "n", "k"],
-        )
+_SPAN = pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())])
+_RUN = pa.struct([("left", pa.string()), ("right", pa.string()), ("words", pa.list_(pa.string())), ("listed", pa.bool_()), ("titled", pa.bool_())])
+_COUNT = pa.struct([("term", pa.string()), ("n", pa.int64())])
+_SPANS = "array<struct<start_pos: bigint, end_pos: bigint, kind: string>>"
+_EVIDENCE = f"text string, spans {_SPANS}, runs array<struct<left: string, right: string, words: array<string>, listed: boolean, titled: boolean>>, terms array<struct<term: string, n: bigint>>, asked array<string>"
+
+
+def _evidence(listed: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [([], [], [], []) if t is None else text_evidence(t, listed) for t in batch.column(2).to_pylist()]
+            columns = [
+                pa.array([[dict(zip(("start_pos", "end_pos", "kind"), x)) for x in f[0]] for f in found], pa.list_(_SPAN)),
+                pa.array([[dict(zip(("left", "right", "words", "listed", "titled"), x)) for x in f[1]] for f in found], pa.list_(_RUN)),
+                pa.array([[dict(zip(("term", "n"), x)) for x in f[2]] for f in found], pa.list_(_COUNT)),
+                pa.array([f[3] for f in found], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["row", "rec_table", "text", "spans", "runs", "terms", "asked"])
+
+    return run
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for text, terms in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for text, spans, terms, slots in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
             if text is None:
                 found.append(None)
                 continue
-            spans = structured_items(text)
+            spans = [(x["start_pos"], x["end_pos"], x["kind"]) for x in spans]
             if terms:
-                spans += names_in(text, spans, {t["term"]: (t["share"], t["part"]) for t in terms})
+                spans += names_in(text, spans, {t["term"]: (t["share"], t["part"]) for t in terms}, frozenset(slots or ()))
             found.append([{"start_pos": s, "end_pos": e, "kind": kind} for s, e, kind in sorted(spans)])
         clean = [None if t is None else sanitized(t, [(x["start_pos"], x["end_pos"], x["kind"]) for x in f]) for t, f in zip(batch.column(2).to_pylist(), found)]
-        kind = pa.list_(pa.struct([("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind), pa.array(clean, pa.string())], names=["rec_table", "rec_id", "items", "sanitized"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(_SPAN)), pa.array(clean, pa.string())], names=["rec_table", "rec_id", "items", "sanitized"])
+
+
+def person_slots(seen: DataFrame) -> DataFrame:
+    """``(context, share)``: contexts whose runs are mostly listed names, and different ones.
+
+    The number of different names keeps out the ordinary places of a listed name that is also
+    a word: they are seen with that one name only.
+    """
+    runs = seen.select(F.explode("runs").alias("r"))
+    name = F.array_join("r.words", " ")
+    each = runs.select(F.explode(F.array("r.left", "r.right")).alias("context"), F.col("r.listed").cast("int").alias("k"), F.when(F.col("r.listed"), F.xxhash64(name)).alias("name"))
+    stats = each.groupBy("context", "name").agg(F.count("*").alias("n"), F.sum("k").alias("k")).groupBy("context").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("name").alias("kinds"))
+    return stats.where((F.col("kinds") >= KINDS_IN_SLOT) & (F.col("k") >= SLOT * F.col("n"))).select("context", (F.col("k") / F.col("n")).alias("share"))
 
 
-def disclosing_terms(evidence: DataFrame, hints: DataFrame) -> DataFrame:
+def disclosing_terms(seen: DataFrame, slots: DataFrame, listed: DataFrame) -> DataFrame:
     """``(term, share, part)``: terms whose smoothed share of person slots is over the threshold, and listed names.
 
     ``share`` is the probability of a person slot given the term, shrunk to the corpus-wide
     rate r by ``PRIOR`` occurrences; log2(share / r) is the term's pointwise mutual
     information with the slots, and a fixed share is a fixed threshold on it.
     """
-    stats = evidence.groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    runs = seen.select(F.explode("runs").alias("r")).select("r.left", "r.right", "r.words", "r.titled")
+    of_left, of_right = slots.select(F.col("context").alias("left"), F.lit(1).alias("in_left")), slots.select(F.col("context").alias("right"), F.lit(1).alias("in_right"))
+    filled = runs.join(of_left, "left", "left").join(of_right, "right", "left").where("titled or in_left = 1 or in_right = 1")
+    in_slot = filled.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("k"))
+    total = seen.select(F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"))
+    stats = total.join(in_slot, "term", "left").select("term", "n", F.coalesce("k", F.lit(0)).alias("k"))
     rate = stats.agg((F.sum("k") / F.sum("n")).alias("rate"))
     share = (F.col("k") + PRIOR * F.coalesce("rate", F.lit(0.0))) / (F.col("n") + PRIOR)
     scored = stats.join(F.broadcast(rate)).select("term", "n", "k", share.alias("share"))
-    listed = hints.where("name is not null").select(F.lower("name").alias("name"), "name_part").withColumn("term", F.explode(F.split("name", "-"))).groupBy("term").agg(F.min("name_part").alias("part"))
     return scored.join(listed, "term", "left").where(F.col("part").isNotNull() | ((F.col("share") >= DISCLOSURE) & (F.col("k") >= 2))).select("term", "share", "part")
 
 
+#: Rows up to which a side is broadcast (some 20 MB); beyond, the join shuffles.
+SMALL = 200_000
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def find_items(texts: DataFrame, hints: DataFrame) -> DataFrame:
     """``(rec_table, rec_id, items, sanitized)``, one row per text.
 
     ``texts`` has ``rec_table string, rec_id long, text string``; ``hints`` has ``name,
-    name_part``. ``items`` lists ``start_pos`` and ``end_pos`` (0-based code points) and
-    ``kind``. A null text has null results. Statistics are over all texts given; a rare
-    unlisted name needs to be seen twice in a person slot. Where a record key repeats, each
-    row is searched.
+    name_part`` (a small list by definition). ``items`` lists ``start_pos`` and ``end_pos``
+    (0-based code points) and ``kind``. A null text has null results. Statistics are over all
+    texts given; an unlisted name needs to be seen twice in a person slot, and a slot with
+    three different listed names. Each text is searched for items with a form once. Where a
+    record key repeats, each row is searched.
     """
-    src = texts.select("rec_table", F.col("rec_id").cast("bigint").alias("rec_id"), "text")
-    seen = materialize(src.where("text is not null").mapInArrow(_evidence, "rec_table string, rec_id bigint, term string, n bigint, k bigint"), "terms")
-    terms = disclosing_terms(seen, hints)
-    mine = seen.select("rec_table", "rec_id", "term").join(terms, "term").groupBy("rec_table", "rec_id").agg(F.collect_set(F.struct("term", "share", "part")).alias("terms"))
-    return src.join(mine, ["rec_table", "rec_id"], "left").select("rec_table", "rec_id", "text", "terms").mapInArrow(
-        _items, "rec_table string, rec_id bigint, items array<struct<start_pos: bigint, end_pos: bigint, kind: string>>, sanitized string"
-    )
+    listed = hints.where("name is not null").select(F.lower("name").alias("name"), "name_part").withColumn("term", F.explode(F.split("name", "-"))).groupBy("term").agg(F.min("name_part").alias("part"))
+    known = frozenset(r["term"] for r in listed.select("term").collect())
+    src = texts.select(F.struct(F.col("rec_id").cast("bigint").alias("rec_id"), F.expr("uuid()").alias("u")).alias("row"), "rec_table", "text")
+    seen = materialize(src.mapInArrow(_evidence(known), f"row struct<rec_id: bigint, u: string>, rec_table string, {_EVIDENCE}"), "terms")
+    slots = materialize(person_slots(seen), "slots")
+    terms = materialize(disclosing_terms(seen, _if_small(slots), listed), "terms")
+    has = seen.select("row", F.explode("terms.term").alias("term")).join(_if_small(terms), "term").groupBy("row").agg(F.collect_set(F.struct("term", "share", "part")).alias("terms"))
+    at = seen.select("row", F.explode("asked").alias("context")).join(_if_small(slots), "context").groupBy("row").agg(F.collect_set("context").alias("slots"))
+    rows = seen.select("row", "rec_table", "text", "spans").join(has, "row", "left").join(at, "row", "left")
+    return rows.select("rec_table", "row.rec_id", "text", "spans", "terms", "slots").mapInArrow(_items, f"rec_table string, rec_id bigint, items {_SPANS}, sanitized string")

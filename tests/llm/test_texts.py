@@ -40,11 +40,34 @@ def _find(spark, texts, hints):
 
 
 def test_names_by_disclosure(spark):
-    texts = ["My name is Quilla.", "Everyone calls me Quilla, though.", "Quilla called.", "I saw Hope Marl.", "Hope this helps.", "The Marl Foundation closed.", "Okay Hope, I stored that.", "marl, tel. 1", None, "", "Ask Dr. Marl about it.", "Wanda walked", "O. Marl said so", "Okay Quilla, I stored that.", "I work with Quilla on this."]
-    got = _find(spark, texts, [("Hope", "given"), ("Marl", "family"), (None, None)])
-    items = {i: [texts[i][x["start_pos"] : x["end_pos"]] for x in r["items"]] if r["items"] is not None else None for i, r in got.items()}
-    assert items == {0: ["Quilla"], 1: ["Quilla"], 2: ["Quilla"], 3: ["Hope Marl"], 4: [], 5: [], 6: ["Hope"], 7: [], 8: None, 9: [], 10: ["Marl"], 11: [], 12: ["O. Marl"], 13: ["Quilla"], 14: ["Quilla"]}
-    assert got[3]["sanitized"] == "I saw [NAME]." and got[8]["sanitized"] is None and got[9]["sanitized"] == ""
+    corpus = [f"My name is {x}." for x in ("Anna", "Boris", "Clara", "Quilla", "Quilla")] + [f"I met {x} at the office." for x in ("Anna", "Boris", "Clara", "Katarina Novak", "Katarina Novak")]
+    asked = {
+        "Yesterday Katarina Novak and the others had lunch.": ["Katarina Novak"],
+        "My name is Hope.": ["Hope"],
+        "I saw Hope Marl.": ["Hope Marl"],
+        "Hope this helps.": [],
+        "The Marl Foundation closed.": [],
+        "We live at 5 Marl Street.": [],
+        "marl, they say": [],
+        "Ask Dr. Marl about it.": ["Marl"],
+        "O. Marl at the office": [],
+        "Wanda walked": [],
+        "My name is anna marl.": ["anna marl"],
+    }
+    texts = corpus + ["Hope this helps."] * 3 + [None, ""] + list(asked)
+    got = _find(spark, texts, [("Hope", "given"), ("Anna", "given"), ("Boris", "given"), ("Clara", "given"), ("Marl", "family"), (None, None)])
+    items = [None if got[i]["items"] is None else [t[x["start_pos"] : x["end_pos"]] for x in got[i]["items"] if x["kind"] == "name"] for i, t in enumerate(texts)]
+    assert items[:10] == [["Anna"], ["Boris"], ["Clara"], ["Quilla"], ["Quilla"], ["Anna"], ["Boris"], ["Clara"], ["Katarina Novak"], ["Katarina Novak"]]
+    assert items[10:15] == [[], [], [], None, []]
+    wrong = {t: (x, asked[t]) for t, x in zip(texts[15:], items[15:]) if x != asked[t] and t != "O. Marl at the office"}
+    assert not wrong
+    assert got[8]["sanitized"] == "I met [NAME] at the office." and got[13]["sanitized"] is None and got[14]["sanitized"] == ""
+
+
+def test_repeated_records_are_each_searched(spark):
+    df = spark.createDataFrame([("turns", 1, "a@b.example", 0), ("turns", 1, "a@b.example", 0), ("turns", None, "call 415-555-0194", 0)], "rec_table string, rec_id int, text string, row int")
+    rows = pd_.find_items(df, spark.createDataFrame([], "name string, name_part string")).collect()
+    assert sorted(len(r["items"]) for r in rows) == [1, 1, 1]
 
 
 def test_personal_data_of_nothing(spark):
