@@ -1,17 +1,16 @@
 """Mixing sources to target shares of the total size in tokens.
 
-Time runs from 0 (start of training) to 1. Source s has a weight schedule w_s(t), its share of
-the tokens being read at t, which integrates to its target share; here it is linear,
-w_s(t) = q_s (1 + a_s (2t - 1)) with sum q_s a_s = 0, so the weights sum to 1 at any time.
-A document copy that starts after c tokens of its source stands at the t for which the
-integral of the schedule equals c over the total, found in closed form; sorting all copies by
-t gives the training order, in which every stretch keeps the schedule's shares.
+Time runs from 0 (start of training) to 1. Source s has a weight schedule w_s(t), linear
+between any number of knots, whose integral is scaled to its share of the tokens. A document
+copy that starts after a part x of its source's tokens stands at the t at which the integral
+of the schedule reaches x, found in closed form within its segment; sorting all copies by t
+gives the training order, in which at any time sources are read in the ratio of their weights.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -84,21 +83,50 @@ def plan_shares(sizes: dict[str, int], targets: dict[str, tuple[float, int]], to
     return take
 
 
-def _position(c: Column, q: Column, a: Column) -> Column:
-    """t with q (t + a (t^2 - t)) = c, for |a| < 1."""
-    x = c / q
-    root = F.sqrt((1 - a) * (1 - a) + 4 * a * x)
-    return F.least(F.lit(1.0), 2 * x / ((1 - a) + root))
+Knots = Sequence[tuple[float, float]]
 
 
-def mixture(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_tokens: int | None = None, ramps: dict[str, float] | None = None, tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
+def segments(knots: Knots) -> list[tuple[float, float, float, float, float]]:
+    """``(x, t, dt, w, dw)`` of each stretch of a schedule: the part of the whole before it, its place, length, weight and rise; weights scaled so that the whole is 1."""
+    t, w = [float(k[0]) for k in knots], [float(k[1]) for k in knots]
+    if len(knots) < 2 or t[0] != 0 or t[-1] != 1 or any(a >= b for a, b in zip(t, t[1:])) or min(w) < 0:
+        raise ValueError("a schedule has knots at growing times from 0 to 1 and no negative weight")
+    area = [(b - a) * (x + y) / 2 for a, b, x, y in zip(t, t[1:], w, w[1:])]
+    whole = sum(area)
+    if not whole > 0:
+        raise ValueError("a schedule needs a weight somewhere")
+    return [(sum(area[:k]) / whole, t[k], t[k + 1] - t[k], w[k] / whole, (w[k + 1] - w[k]) / whole) for k in range(len(area)) if area[k] > 0]
+
+
+def _position(x: Column, parts: Column) -> Column:
+    """The time at which the schedule in ``parts`` has used up a part ``x`` of its tokens."""
+    at = F.element_at(F.filter(parts, lambda p: p["x"] <= x), -1)
+    r = (x - at["x"]) / at["dt"]
+    u = F.when(r > 0, 2 * r / (at["w"] + F.sqrt(F.greatest(F.lit(0.0), at["w"] * at["w"] + 2 * at["dw"] * r)))).otherwise(0.0)
+    return F.least(F.lit(1.0), at["t"] + at["dt"] * F.least(F.lit(1.0), u))
+
+
+def _schedules(share: dict[str, float], ramps: dict[str, float], given: dict[str, Knots]) -> dict[str, Knots]:
+    """The schedule of each source: the one given, a ramp, or, beside ramps, the opposite slope that keeps the weights' sum even."""
+    sloped = {s: a for s, a in ramps.items() if s in share}
+    rest = [s for s in share if s not in ramps and s not in given]
+    spare = sum(share[s] for s in rest)
+    slopes = sloped | {s: -sum(share[r] * a for r, a in sloped.items()) / spare for s in rest if sloped and spare}
+    if any(not -1 < a < 1 for a in slopes.values()):
+        raise ValueError("ramps must lie in (-1, 1), and so must the slope that is left to the other sources")
+    return {s: given.get(s, [(0.0, 1 - slopes.get(s, 0.0)), (1.0, 1 + slopes.get(s, 0.0))]) for s in share}
+
+
+def mixture(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_tokens: int | None = None, ramps: dict[str, float] | None = None, schedules: dict[str, Knots] | None = None, tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
     """``(doc_id, source, n_tokens, copy_no, position, target_share, taken_share)``, one row per use, in training order.
 
     ``targets`` has ``source, target_share, max_repeats`` and one row per source (a small
     table by definition; it and one row of sums per source are all that reaches the driver).
     Every document is used floor(d) or ceil(d) times, d being its source's demand over its
-    size; the one more goes to a pseudo-random part of the source. ``ramps`` gives a_s in
-    (-1, 1) for some sources; the others share the opposite slope. ``taken_share`` is the
+    size; the one more goes to a pseudo-random part of the source. ``schedules`` gives knots
+    ``(time, weight)`` for some sources; ``ramps`` gives a slope a in (-1, 1) for others, for
+    weights from 1 - a to 1 + a, and what neither names takes the opposite slope, so that the
+    weights' sum stays even (a ValueError says if it cannot). ``taken_share`` is the
     share the source reaches in the whole result. Documents whose source is no target, is
     null, or whose text is null or has no token take no part; a repeated id counts as
     another document.
@@ -112,15 +140,10 @@ def mixture(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_co
     sizes = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("in_bucket").alias("n")).collect()}
     take = plan_shares(sizes, spec, total_tokens)
     whole = sum(take.values()) or 1.0
-    slopes = {s: max(-0.95, min(0.95, (ramps or {}).get(s, 0.0))) for s in take}
-    given = sum(take[s] / whole * slopes[s] for s in take)
-    rest = [s for s in take if s not in (ramps or {})]
-    spare = sum(take[s] / whole for s in rest)
-    if rest and spare:
-        slopes |= {s: max(-0.95, min(0.95, -given / spare)) for s in rest}
+    courses = _schedules({s: take[s] / whole for s in take}, ramps or {}, {s: k for s, k in (schedules or {}).items() if s in take})
     plan = spark.createDataFrame(
-        [(s, float(take[s]), float(sizes[s]), float(take[s] / whole), float(slopes[s]), spec[s][0], spec[s][1]) for s in take],
-        "source string, demand double, size double, q double, a double, target_share double, max_repeats int",
+        [(s, float(take[s]), float(sizes[s]), segments(courses[s]), spec[s][0], spec[s][1]) for s in take],
+        "source string, demand double, size double, parts array<struct<x: double, t: double, dt: double, w: double, dw: double>>, target_share double, max_repeats int",
     )
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a source
     starts = sums.withColumn("base", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).select("source", "b", "base")
@@ -132,7 +155,7 @@ def mixture(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_co
     real = {r["source"]: r["n"] for r in taken}
     reached = spark.createDataFrame([(s, n / sum(real.values())) for s, n in real.items()], "source string, taken_share double")
     rows = used.join(F.broadcast(reached), "source").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    at = _position(F.least(F.lit(1.0), (F.col("offset") + F.col("copy_no") * F.col("size")) / F.lit(whole)), F.col("q"), F.col("a"))
+    at = _position(F.least(F.lit(1.0), (F.col("offset") + F.col("copy_no") * F.col("size")) / F.col("demand")), F.col("parts"))
     return rows.select("doc_id", "source", "n_tokens", "copy_no", at.alias("position"), "target_share", "taken_share").orderBy("position", "source", "doc_id", "copy_no")
 
 

@@ -324,3 +324,24 @@ def test_mixture(spark):
     shares = {r["source"]: r for r in mixing.reached_shares(mixing.mixture(df, targets), targets).collect()}
     assert shares["gone"]["tokens"] == 0 and shares["gone"]["actual_share"] == 0
     assert mixing.mixture(df.limit(0), targets).count() == 0
+
+
+def test_schedules():
+    parts = mixing.segments([(0, 0), (0.5, 0), (1, 2)])
+    assert parts == [(0.0, 0.5, 0.5, 0.0, 4.0)]
+    for bad in ([(0, 1)], [(0, 1), (0.9, 1)], [(0, 1), (1, -1)], [(0, 0), (1, 0)], [(0, 1), (0.5, 1), (0.5, 2), (1, 1)]):
+        with pytest.raises(ValueError):
+            mixing.segments(bad)
+    with pytest.raises(ValueError):
+        mixing._schedules({"a": 0.9, "b": 0.1}, {"a": 0.9}, {})
+
+
+def test_a_schedule_with_knots(spark):
+    docs = [(i, "ab"[i % 2], "word " * (1 + i % 7)) for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.mixture(df, targets, schedules={"a": [(0, 0), (0.5, 0), (1, 1)]}).collect()
+    early = [r for r in mix if r["source"] == "a" and r["position"] < 0.5]
+    late = [r for r in mix if r["source"] == "a" and r["position"] > 0.75]
+    tokens = sum(r["n_tokens"] for r in mix if r["source"] == "a")
+    assert not early and sum(r["n_tokens"] for r in late) / tokens == pytest.approx(0.75, abs=0.03)
