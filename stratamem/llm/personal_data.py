@@ -183,7 +183,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ORG_AFTER = re.compile(rf"(?:-[^\W\d_]+)?(?:\s+(?:and|&)\s+\w+)?\s+(?:[^\W\d_]+\s)?(?:{ORGANISATIONS}|{STREET_WORDS})\b")
 _TITLE_BEFORE = re.compile(r"\b" + TITLES + r"\.?\s+$", re.I)
 _CONTEXT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
-_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n|\s{2,}")
 #: Tokens of a context, which ends where the sentence does, and characters that they are looked for in.
 NEAR, REACH = 2, 32
 
@@ -226,8 +226,8 @@ def _context(parts: list[str]) -> str:
 
 def contexts(text: str, spans: list[tuple[int, int, str]], start: int, end: int) -> tuple[str, str]:
     """What stands right before and right behind a run: two tokens each, fewer at the ends of its sentence."""
-    before = next((f"<{kind}> {text[e:start].strip()}" for s, e, kind in spans if start - 3 <= e <= start), None)
-    behind = next((f"{text[end:s].strip()} <{kind}>" for s, e, kind in spans if end <= s <= end + 3), None)
+    before = next((f"<{kind}> {text[e:start].strip()}" for s, e, kind in spans if start - 3 <= e <= start and not _SENTENCE_END.search(text[e:start])), None)
+    behind = next((f"{text[end:s].strip()} <{kind}>" for s, e, kind in spans if end <= s <= end + 3 and not _SENTENCE_END.search(text[end:s])), None)
     if before is None:
         parts = _CONTEXT.findall(_SENTENCE_END.split(text[max(0, start - REACH) : start])[-1])
         before = _context(parts[-NEAR:] if len(parts) >= NEAR else ["^", *parts])
@@ -384,10 +384,12 @@ def person_slots(seen: DataFrame) -> DataFrame:
     a word: they are seen with that one name only.
     """
     runs = seen.select(F.explode("runs").alias("r"))
-    name = F.array_join("r.words", " ")
-    each = runs.select(F.explode(F.array("r.left", "r.right")).alias("context"), F.col("r.listed").cast("int").alias("k"), F.when(F.col("r.listed"), F.xxhash64(name)).alias("name"))
+    # the name that touches the context: its first word behind, its last word before
+    sides = F.array(*[F.struct(F.col(f"r.{side}").alias("context"), F.element_at("r.words", at).alias("word")) for side, at in (("left", 1), ("right", -1))])
+    each = runs.select(F.explode(sides).alias("s"), F.col("r.listed").alias("listed")).select("s.context", F.col("listed").cast("int").alias("k"), F.when(F.col("listed"), F.col("s.word")).alias("name"))
     stats = each.groupBy("context", "name").agg(F.count("*").alias("n"), F.sum("k").alias("k")).groupBy("context").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("name").alias("kinds"))
-    return stats.where((F.col("kinds") >= KINDS_IN_SLOT) & (F.col("k") >= SLOT * F.col("n"))).select("context", (F.col("k") / F.col("n")).alias("share"))
+    telling = F.substring("context", 3, 100).rlike(r"[<\p{L}]")  # the start of a sentence or a comma alone tells nothing
+    return stats.where(telling & (F.col("kinds") >= KINDS_IN_SLOT) & (F.col("k") >= SLOT * F.col("n"))).select("context", (F.col("k") / F.col("n")).alias("share"))
 
 
 def disclosing_terms(seen: DataFrame, slots: DataFrame, listed: DataFrame) -> DataFrame:
