@@ -407,7 +407,7 @@ def _prefixes(shares: np.ndarray, threshold: float, n_sets: int):
     return run
 
 
-#: Pairs whose first bitmaps are compared at once.
+#: Pairs whose bitmaps are compared at once.
 AT_ONCE = 1 << 16
 
 
@@ -457,6 +457,9 @@ def _compare(rows: _Entries, others: _Entries | None, slack: float, threshold: f
         shape = (len(own), b - a)
         differ = np.bitwise_xor(rows.low[own, None], to.low[a:b], out=_buffer("differ", _U, shape))
         count = np.bitwise_count(differ, out=_buffer("count", np.uint8, shape))
+        # both halves before hits are looked at one by one: of texts made of common words a quarter agree in the first
+        differ = np.bitwise_xor(rows.high[own, None], to.high[a:b], out=differ)
+        count += np.bitwise_count(differ, out=_buffer("second", np.uint8, shape))
         most = np.add(rows.loose[own, None], to.loose[a:b], out=_buffer("most", np.uint8, shape))
         near = np.less_equal(count, most, out=_buffer("near", bool, shape)).ravel()
         if len(near) % 8:
@@ -465,8 +468,7 @@ def _compare(rows: _Entries, others: _Entries | None, slack: float, threshold: f
             at = (np.flatnonzero(near.view(_U))[:, None] * 8 + np.arange(8)).ravel()
             at = at[near[at]]
         x, y = own[at // (b - a)], at % (b - a) + a
-        full = count.ravel()[at].astype(np.int64) + np.bitwise_count((rows.high[x] ^ to.high[y]) << _U(16))
-        keep = (full <= slack * (rows.n[x] + to.n[y]) + 1e-9) | (rows.n[x] >= 32767) | (to.n[y] >= 32767)
+        keep = (count.ravel()[at] <= slack * (rows.n[x] + to.n[y]) + 1e-9) | (rows.n[x] >= 32767) | (to.n[y] >= 32767)
         x, y = x[keep], y[keep]
         keep = rows.part[x] != to.part[y]
         if keep.any():
@@ -534,7 +536,8 @@ def _cells(threshold: float):
             order = np.lexsort((n, side, own))
             own, side, n = own[order], side[order], n[order]
             loose = np.where(n >= 32767, 127, np.minimum(np.ceil(slack * n), 127)).astype(np.uint8)
-            all_ = _Entries(low[order], high[order], node[order], (part ^ node)[order], n, loose, high[order] >> _U(63) == 1)
+            high = high[order]
+            all_ = _Entries(low[order], high & _U(2**48 - 1), node[order], (part ^ node)[order], n, loose, high >> _U(63) == 1)
             start = np.searchsorted(own, np.arange(new.sum() + 1))
             middle = np.searchsorted(own * 2 + side, np.arange(new.sum()) * 2 + 1)
             for k, c in enumerate(cell[new].tolist()):

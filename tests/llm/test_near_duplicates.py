@@ -2,6 +2,8 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from stratamem.llm import near_duplicates as nd
 
 
@@ -106,3 +108,30 @@ def test_links_do_not_depend_on_the_partitions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert nd.near_duplicate_groups(df, "id", "t").count() == 0
+
+
+class _Asked(np.ndarray):
+    """An array that counts what is looked up by lists of places."""
+
+    asked = 0
+
+    def __getitem__(self, at):
+        if isinstance(at, np.ndarray) and at.dtype != bool:
+            _Asked.asked += at.size
+        return np.asarray(super().__getitem__(at))
+
+
+def test_exact_search_looks_one_by_one_only_at_pairs_that_both_halves_of_the_bitmap_leave():
+    size, threshold = 400, 0.6
+    rng = np.random.default_rng(3)
+    low, high = np.full(size, 5, np.uint64), rng.integers(0, 1 << 48, size).astype(np.uint64)  # alike in the first half only
+    high[7] = high[300]
+    n, nodes = np.full(size, 30).view(_Asked), np.arange(size, dtype=np.int32)
+    own = nd._Entries(low, high, nodes, nodes, n, np.full(size, 8, np.uint8), np.ones(size, bool))
+    slack = (1 - threshold) / (1 + threshold)
+    apart = np.bitwise_count(high[:, None] ^ high)
+    wanted = {(a, b) for a, b in np.argwhere(apart <= slack * 60 + 1e-9).tolist() if a != b}
+    _Asked.asked = 0
+    found = {tuple(p) for pairs in nd._compare(own, None, slack, threshold) for p in pairs.T.tolist()}
+    assert found == wanted and (7, 300) in found
+    assert _Asked.asked < size * size / 8
