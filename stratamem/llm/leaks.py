@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +69,31 @@ def spoken_words(text: str) -> list[str]:
     return WORD.findall(folded(_spoken(text)))
 
 
+#: Words of the pieces between spaces, which repeat from text to text.
+_folds: dict[str, tuple[str, ...]] = {}
+
+
+def _words(text: str) -> list[str]:
+    """The words of the folded text. Folding stops at spaces, so each piece is folded once."""
+    if text.isascii():
+        return WORD.findall(text.lower())
+    if len(_folds) > 200_000:
+        _folds.clear()
+    out: list[str] = []
+    for piece in text.split():
+        own = _folds.get(piece)
+        if own is None:
+            own = tuple(WORD.findall(folded(piece)))
+            if len(piece) <= 40:
+                _folds[piece] = own
+        out += own
+    return out
+
+
 def _readings(text: str) -> list[list[str]]:
     """The words of a subtitle text; where lines repeat the line before (roll-up captions), also without those."""
     plain = _spoken(text)
-    out = [WORD.findall(folded(plain))]
+    out = [_words(plain)]
     lines, last, rolled = [], "", False
     for line in plain.replace(" / ", "\n").split("\n"):
         now = line.strip(" \t|-")
@@ -81,7 +103,7 @@ def _readings(text: str) -> list[list[str]]:
             lines.append(now)
             last = now
     if rolled:
-        out.append(WORD.findall(folded("\n".join(lines))))
+        out.append(_words("\n".join(lines)))
     return out
 
 
@@ -177,18 +199,36 @@ class _Vocabulary:
             self.bits.append({w: sum(1 << j for j in places) for w, places in at.items()})
             keys += [k * len(self.index) + self.index[w] for w in at]
             pairs += [(k * len(self.index) + self.index[v]) * len(self.index) + self.index[w] for v, w in zip(words, words[1:])]
+        self.answers: dict[str, list[int]] = {}
+        for k, (_, _, answer) in enumerate(items):
+            for w in set(answer):
+                self.answers.setdefault(w, []).append(k)
+        self.answer_size = np.array([len(set(answer)) for _, _, answer in items])
         # (item, word) and (item, word, next word) as bitmaps of hashed places, 16 for each: a few others pass, none is lost.
         self.has, self.follows = (np.zeros(1 << max(16, (16 * len(x)).bit_length()), bool) for x in (keys, pairs))
-        self.has[self._place(np.array(keys, np.int64), self.has)] = True
+        rng = np.random.default_rng(7)
+        self.of_item, self.of_word = (rng.integers(0, len(self.has), n, np.uint32) for n in (len(items), len(self.index) + 1))
+        self.of_word[-1] = len(self.has)  # no known word: places in a second half without marks
+        item, word = np.divmod(np.array(keys, np.int64), len(self.index))
+        self.has = np.concatenate([self.has, np.zeros_like(self.has)])
+        self.has[self.of_item[item] ^ self.of_word[word]] = True
         self.follows[self._place(np.array(pairs, np.int64), self.follows)] = True
 
     @staticmethod
     def _place(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
         return (keys * 2654435761 >> 7) & (len(table) - 1)
 
-    def member(self, item: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Whether the items have the words; a rare other pair may pass."""
-        return (ids >= 0) & self.has[self._place(item * len(self.index) + ids, self.has)]
+    def member(self, item: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which words of the passages at ``starts`` the items have; a rare other pair may pass."""
+        seen = np.lib.stride_tricks.sliding_window_view(self.of_word[ids], PASSAGE)[starts]
+        return self.has[np.bitwise_xor(seen, self.of_item[item][:, None], out=seen)]
+
+    def answered(self, words: set[str]) -> np.ndarray:
+        """Of which items all words of the answer are among these; of none whose answer has no word."""
+        n = np.zeros(len(self.items), np.int64)
+        for w in self.answers.keys() & words:
+            n[self.answers[w]] += 1
+        return (self.answer_size > 0) & (n == self.answer_size)
 
     def next_to(self, item: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether each word and the next follow each other in the items; a rare other pair may pass."""
@@ -196,8 +236,7 @@ class _Vocabulary:
         return both & self.follows[self._place((item * len(self.index) + ids[:, :-1]) * len(self.index) + ids[:, 1:], self.follows)]
 
     def ids(self, words: list[str]) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
 
 
 def _starts(ids: np.ndarray) -> np.ndarray:
@@ -245,13 +284,17 @@ def _chunks(ids_of: pa.ListArray, at_of: pa.ListArray) -> Iterator[tuple[np.ndar
 
 
 def _passages_times(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Products of the passages' TF-IDF vectors with ``right``, by running sums over the words, and their lengths squared."""
+    """Products of the passages' TF-IDF vectors with ``right``, by sums over quarters of a passage, and their lengths squared."""
     rows = np.vstack([idf[:, None] * right, np.zeros((1, right.shape[1]))]).astype(np.float32)
-    sums = np.zeros((len(ids) + 1, right.shape[1]), np.float32)
-    np.cumsum(rows[ids], axis=0, out=sums[1:])
+    each = rows[ids]
+    pairs = each[:-1] + each[1:]
+    quarters = np.add(pairs[:-2], pairs[2:], out=each[:-3])
+    sums = quarters[starts]
+    for k in range(PASSAGE // 4, PASSAGE, PASSAGE // 4):
+        sums += quarters[starts + k]
     own = np.append(idf, 0.0)[ids]
     size = np.concatenate([[0.0], np.cumsum(own * own)])
-    return sums[starts + PASSAGE] - sums[starts], np.maximum(size[starts + PASSAGE] - size[starts], 1e-9)
+    return sums, np.maximum(size[starts + PASSAGE] - size[starts], 1e-9)
 
 
 def _prepared(vocab):
@@ -366,17 +409,19 @@ def _latent(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, space: np.ndar
     return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), np.float32(1e-12))
 
 
-def _near(near: np.ndarray, latent: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the two with a cosine over the bar, block by block."""
-    rows, columns = [], []
-    for a in range(0, len(near), 1024):
-        for b in range(0, len(latent), 4096):
-            hit = (near[a : a + 1024] @ latent[b : b + 4096].T) >= cosine
-            width = hit.shape[1]
-            at = np.flatnonzero(hit)
-            rows.append(at // width + a)
-            columns.append(at % width + b)
-    return np.concatenate(rows), np.concatenate(columns)
+def _near(near: np.ndarray, latent: np.ndarray, item_of: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a passage and an item, of which any passage has a cosine over the bar to it; block by block, by item."""
+    width = len(near)
+    near = np.concatenate([near, np.zeros((-width % 8, near.shape[1]), near.dtype)])  # whole eights of passages are marked at once
+    marks = np.zeros((int(item_of[-1]) + 1, len(near)), bool)
+    for b in range(0, len(latent), 4096):
+        own = item_of[b : b + 4096]
+        edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))  # an item's passages lie together
+        for a in range(0, len(near), 1024):
+            hit = (latent[b : b + 4096] @ near[a : a + 1024].T) >= cosine
+            marks[own[edge], a : a + 1024] |= np.bitwise_or.reduceat(hit.view(np.uint64), edge, axis=0).view(bool)
+    item, row = np.divmod(np.flatnonzero(marks), len(near))
+    return row[row < width], item[row < width]
 
 
 def _has_answer(seen: list[str], answer: list[str]) -> bool:
@@ -387,26 +432,32 @@ def _search(known, least: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, idf, space, latent, item_of = known.value
         span = np.arange(PASSAGE)
+        shared = 2 * PASSAGE // 3
         for batch in batches:
             keys = batch.column(0).to_pylist()
             place, _ = _flat(batch.column(4))
             done = 0
             cands: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
             for ids, starts, rows in _chunks(batch.column(2), batch.column(3)):
-                r, c = _near(_latent(ids, starts, idf, space), latent, cosine)
                 # a pair of a passage and an item once, however many of the item's passages are near
-                item = item_of[c].astype(np.int64)
-                pair, first = np.unique(item * len(starts) + r, return_index=True)
-                item, r = item[first], r[first]
-                seen = ids[starts[r][:, None] + span]
-                has = own.member(item[:, None], seen)
+                r, item = _near(_latent(ids, starts, idf, space), latent, item_of, cosine)
+                has = own.member(item, ids, starts[r])
+                n = np.bitwise_count(has.view(np.uint64)).sum(axis=1, dtype=np.uint8)
+                able = np.flatnonzero(n >= min(shared, least - 1))
+                r, item, has, n = r[able], item[able], has[able], n[able]
                 run_ = np.cumsum(has, axis=1, dtype=np.int8)
                 run_[:, least:] -= run_[:, :-least].copy()
                 strict = run_[:, least - 1 :].max(axis=1, initial=0) >= least - 1
                 # one damaged word breaks two of a run's pairs; half of them is asked for, as an alignment follows
-                strict[strict] = own.next_to(item[strict][:, None], seen[strict]).sum(axis=1) >= max(0, min(least - 3, least // 2))
-                loose = has.sum(axis=1) >= 2 * PASSAGE // 3
-                for k, i, s, exact in zip(rows[r[strict | loose]].tolist(), item[strict | loose].tolist(), place[done + r[strict | loose]].tolist(), strict[strict | loose].tolist()):
+                seen = ids[starts[r[strict]][:, None] + span]
+                strict[strict] = own.next_to(item[strict][:, None], seen).sum(axis=1) >= max(0, min(least - 3, least // 2))
+                # a text without an item's answer cannot hold it reworded; its other passages count only beside a strict one
+                first = rows[0]
+                told = np.stack([own.answered(set(batch.column(1)[k].as_py().split(" "))) for k in range(first, rows[-1] + 1)])
+                pair = rows[r] - first, item
+                told[pair[0][strict], item[strict]] = True
+                keep = np.flatnonzero(strict | (n >= shared) & told[pair])
+                for k, i, s, exact in zip(rows[r[keep]].tolist(), item[keep].tolist(), place[done + r[keep]].tolist(), strict[keep].tolist()):
                     at = cands.setdefault((k, i), ([], []))
                     at[0 if exact else 1].append(s)
                 done += len(starts)

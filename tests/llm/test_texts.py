@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -345,3 +346,27 @@ def test_a_schedule_with_knots(spark):
     late = [r for r in mix if r["source"] == "a" and r["position"] > 0.75]
     tokens = sum(r["n_tokens"] for r in mix if r["source"] == "a")
     assert not early and sum(r["n_tokens"] for r in late) / tokens == pytest.approx(0.75, abs=0.03)
+
+
+def test_pieces_that_repeat_are_folded_once(monkeypatch):
+    texts = [f"Où était la fenêtre ? Élève n° {k % 3}, «Σίσυφος» ½ е́тᴀж_{k % 2}" for k in range(60)]
+    wanted = [leaks.WORD.findall(leaks.folded(leaks._spoken(t))) for t in texts]
+    seen, fold = [], leaks.folded
+    monkeypatch.setattr(leaks, "folded", lambda t: seen.append(len(t)) or fold(t))
+    assert [leaks._readings(t)[0] for t in texts] == wanted
+    assert sum(seen) < 3 * len(texts[0])
+
+
+def test_near_items_and_passage_sums_against_brute_force():
+    rng = np.random.default_rng(5)
+    near, latent = rng.standard_normal((1037, 6)).astype(np.float32), rng.standard_normal((4500, 6)).astype(np.float32)
+    item_of = np.sort(rng.integers(0, 700, 4500))
+    row, item = leaks._near(near, latent, item_of, 9.0)
+    a, b = np.nonzero(near @ latent.T >= 9.0)
+    assert set(zip(row.tolist(), item.tolist())) == set(zip(a.tolist(), item_of[b].tolist())) and len(row) == len(set(zip(row.tolist(), item.tolist())))
+    ids, starts = rng.integers(-1, 40, 90), np.array([0, 4, 8, 33, 74])
+    idf, right = rng.random(40), rng.standard_normal((40, 5))
+    table = np.vstack([idf[:, None] * right, np.zeros((1, 5))])
+    got, size = leaks._passages_times(ids, starts, idf, right)
+    for s, y, n in zip(starts, got, size):
+        assert np.allclose(y, table[ids[s : s + 16]].sum(axis=0), atol=1e-4) and np.isclose(n, (np.append(idf, 0)[ids[s : s + 16]] ** 2).sum())
